@@ -246,3 +246,27 @@ def counts_for(hashes: np.ndarray, replies: dict, bits: int) -> np.ndarray:
     if len(counts) != len(cells):
         raise ValueError("a block's replies don't fit its keys: the input gave other rows when read again")
     return counts[back]
+
+
+def map_documents(docs: DataFrame, of: Callable, schema: str, slice_bytes: int = 2 << 20) -> DataFrame:
+    """of(ids, bytes, offsets) of small slices of documents(), as rows; for work that needs one text at a time only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                done = lengths[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(lengths, done + slice_bytes, side="right")))
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_pydict(of(part.column(0), *text_bytes_of(part.column(1))))
+                begin = end
+
+    return docs.mapInArrow(run, schema)
+
+
+def text_bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    _, offs, data = text.buffers()
+    offsets = np.frombuffer(offs, np.int32, len(text) + 1, text.offset * 4).astype(np.int64)
+    buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return buf, offsets - offsets[0]
