@@ -185,7 +185,7 @@ def sketch_bits(keys: int, cells_per_key: int = 64) -> int:
     return min(64, max(20, math.ceil(math.log2(max(2, keys * cells_per_key)))))
 
 
-def merged_counts(blocks: Blocks, keys: Callable, bits: int, cap: int | None) -> DataFrame:
+def merged_counts(blocks: Blocks, keys: Callable, bits: int, cap: int | None, top: int = 0) -> DataFrame:
     """How often each of a block's keys occurs in all blocks, as replies (block, frag, counts).
 
     keys(ids, bytes, offsets) gives hashes (repeats count) or (hashes, counts).
@@ -193,7 +193,8 @@ def merged_counts(blocks: Blocks, keys: Callable, bits: int, cap: int | None) ->
     `bits`; only filled cells are sent. A fragment adds the sketches' cells and
     answers each block for its filled cells in ascending order. Below 64 bits the
     counts are never too low; with 64 they are those of the hashes. cap: the
-    answers stop there. Block -1 gets the totals of each fragment.
+    answers stop there. Block -1 gets, for each fragment, how many keys occur and how
+    often in all, then the `top` most frequent keys with their counts, as int64.
     """
     frags, shift = blocks.frags, np.uint64(64 - bits)
 
@@ -219,7 +220,9 @@ def merged_counts(blocks: Blocks, keys: Callable, bits: int, cap: int | None) ->
         answers, at = [], np.concatenate(([0], np.cumsum(sizes)))
         for i in range(len(cells)):
             answers.append(zip_planes(kept[back[at[i] : at[i + 1]]]))
-        answers.append(np.array([len(distinct), int((distinct[total > 0]).size), int(total.sum())], np.int64).tobytes())
+        most = np.lexsort((distinct, -total.astype(np.int64)))[:top]
+        most = np.column_stack([distinct[most].view(np.int64), total[most].astype(np.int64)]).ravel()
+        answers.append(np.concatenate([[int((total > 0).sum()), int(total.sum())], most]).astype(np.int64).tobytes())
         return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "frag": pa.array([table.column("frag")[0].as_py()] * len(answers), pa.int32()), "counts": pa.array(answers, pa.binary())})
 
     sent = blocks.map(send, "block long, frag int, cells binary, counts binary", with_block=True)

@@ -3,21 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, substring
+from . import bpe, forest, ngram_join, packing, pii, quality, rnn_lm, rules, substring, toxicity
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return ngram_join.similar_classes(_docs(spark, d))
+    return ngram_join.similar_classes(_table(spark, d, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
 def op3_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return substring.dedup_substrings(_docs(spark, d), digest=True)
+    return substring.dedup_substrings(_table(spark, d, "documents"), digest=True)
+
+
+def op4_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, d, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+def op5_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_texts(_table(spark, d, "documents"), digest=True)
+
+
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return rnn_lm.score_texts(_table(spark, d, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules.judge_quality(_table(spark, d, "documents"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return forest.nearest_neighbours(_table(spark, d, "embeddings"))
+
+
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, d, "documents"))
+
 
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_substring_dedup, op4_pii, op5_bpe, op6_toxicity, op7_lm_scoring, op8_quality_rules, op9_nearest_neighbours, op10_packing)}
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_substring_dedup)}
+#: What SQL expresses whole is compared with DuckDB; the others are tested against brute force (tests/llm).
 ORACLE_SQL: dict[str, str] = {}
