@@ -11,11 +11,12 @@ first a text whose unshared shingles fill that prefix has no partner at all:
 most of a corpus leaves here, before any pair exists. What is left is collapsed
 to one representative for each distinct set.
 
-Families of thousands of near copies must not become all their pairs. Each
-class first tests at most a few centres (the smallest class that shares a prefix
-shingle). Links found join components, and only pairs of classes in different
-components that still share a prefix shingle are then all tested: a pair within
-a component can't change the components. So none is lost, and no cap applies.
+Families of thousands of near copies must not become all their pairs. While much
+is open, each class tests a few centres at a turn (classes that lead the list of
+a shared prefix shingle). Links found join components, and in the end all pairs
+of classes in different components that still share a prefix shingle are tested:
+a pair within a component can't change the components. So none is lost, and no
+cap applies.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ from .textcore import U64, Words, mix, window_starts, windows
 
 #: Pieces of a text's shingle set in which partial overlaps are counted.
 FRAGMENTS = 4
+#: Bits of a set's parity.
+PARITY = 1024
+#: Turns of testing centres, at most; what they leave open is tested pair by pair.
+MOST_TURNS = 3
+#: Open pairs that are tested at once without turns of centres.
+DIRECT = 50_000
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +73,7 @@ def shingle_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         grams, at = shingle_sets(buf, offsets, k)
         counts = B.counts_for(grams, got, bits)
         n = np.diff(at)
-        cls, unshared, prefix, sets = [], [], [], []
+        cls, unshared, prefix, sets, parity = [], [], [], [], []
         for i in range(len(n)):
             g, c = grams[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
             cls.append(int(mix(np.array([np.bitwise_xor.reduce(mix(g + U64(n[i])))]) + np.sum(g, dtype=U64)).view(np.int64)[0]) if n[i] else None)
@@ -75,12 +82,15 @@ def shingle_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if n[i] and alone < first:
                 prefix.append(g[np.lexsort((g, c))[alone:first]].view(np.int64))
                 sets.append(g.tobytes())
+                odd = (np.bincount((g & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+                parity.append(np.packbits(odd).view(np.int64))
             else:
                 prefix.append(None)
                 sets.append(None)
-        return {"doc_id": ids, "n": pa.array(n), "cls": pa.array(cls, pa.int64()), "unshared": pa.array(unshared, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "grams": pa.array(sets, pa.binary())}
+                parity.append(None)
+        return {"doc_id": ids, "n": pa.array(n), "cls": pa.array(cls, pa.int64()), "unshared": pa.array(unshared, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "grams": pa.array(sets, pa.binary()), "parity": pa.array(parity, pa.list_(pa.int64()))}
 
-    return blocks.answer(replies, profile, "doc_id long, n long, cls long, unshared long, prefix array<long>, grams binary")
+    return blocks.answer(replies, profile, "doc_id long, n long, cls long, unshared long, prefix array<long>, grams binary, parity array<long>")
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -119,9 +129,41 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int):
-    """Sizes fit, and what follows a first common shingle could still be enough (positions in the global order)."""
+    """Whether a pair with a common shingle can be similar: sizes, positions in the global order, parities.
+
+    Sizes must fit, and what follows a first common shingle must suffice. A bit
+    of parity tells whether a set has an odd number of shingles in a cell; sets
+    that differ in d bits differ in d shingles at least.
+    """
     need = (percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)
+
+
+def _opened(tokens: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, int]:
+    """Prefix shingles that classes of different components share, and how many pairs these could be."""
+    labelled = tokens.withColumn("label", F.col("cls")) if joined is None else tokens.join(joined.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = B.stage_table(labelled)
+    mixed = B.stage_table(labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi"))
+    work = mixed.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    return labelled.join(mixed.select("tok"), "tok", "left_semi"), int(work)
+
+
+def _star_pairs(opened: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """For each class some centres not tested yet, more at later turns: classes of another component that lead a shared shingle's list.
+
+    The largest component of a list leads, by another of its classes for each
+    shingle and turn, so that a class meets many members before it is held unlike them.
+    """
+    sizes = opened.select("label", "cls").distinct().groupBy("label").agg(F.count("*").alias("size"))
+    ranked = opened.join(sizes, "label")
+    order = F.struct((-F.col("size")).alias("s"), "label", F.xxhash64("cls", "tok", F.lit(turn)).alias("h"), "cls", "n", "pos", "parity")
+    heads = ranked.groupBy("tok").agg(F.min(order).alias("c")).select("tok", F.col("c.cls").alias("a"), F.col("c.label").alias("la"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"), F.col("c.parity").alias("xa"))
+    pairs = opened.select("tok", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("parity").alias("xb")).join(heads, "tok").where("la <> lb").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("w"))
+    if tested is not None:
+        pairs = pairs.join(tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    best = Window.partitionBy("b").orderBy(F.desc("w"), "a")
+    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 3 * 6**turn).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,25 +181,27 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     summary = rows.select("doc_id", "n", "cls")
     first = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     live = rows.where("prefix is not null")
-    classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams")))
-    tokens = B.stage_table(classes.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", (F.col("unshared") + F.col("i")).alias("pos")))
-
-    heads = tokens.groupBy("tok").agg(F.min(F.struct("cls", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1").select("tok", F.col("c.cls").alias("a"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
-    stars = tokens.select("tok", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(heads, "tok").where("a <> b").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("w"))
-    stars = stars.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "a"))).where("r <= 3").select("a", "b")
-    stars = B.stage_table(stars)
-    links = B.stage_table(_linked(stars, classes, percent))
-    joined = B.stage_table(components(links))
-
-    labelled = tokens.join(joined.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = B.stage_table(labelled)
-    mixed = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("tok")
-    open_ = labelled.join(mixed, "tok", "left_semi")
-    side = lambda s: open_.select("tok", F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("label").alias("l" + s))
+    classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"), F.first("parity").alias("parity")))
+    tokens = B.stage_table(classes.select("cls", "n", "unshared", "parity", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", "parity", (F.col("unshared") + F.col("i")).alias("pos")))
+
+    links = tested = None
+    opened, work = _opened(tokens, None)
+    enough = max(DIRECT, 8 * classes.count())
+    for turn in range(MOST_TURNS):
+        if work <= enough:
+            break
+        fresh = B.stage_table(_star_pairs(opened, tested, turn, percent))
+        new = B.stage_table(_linked(fresh, classes, percent).select("a", "b"))
+        tested = fresh if tested is None else B.stage_table(tested.union(fresh))
+        links = new if links is None else B.stage_table(links.union(new))
+        joined = B.stage_table(components(links))
+        opened, work = _opened(tokens, joined)
+    side = lambda s: opened.select("tok", F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("label").alias("l" + s), F.col("parity").alias("x" + s))
     rest = side("a").join(side("b"), "tok").where("a < b and la <> lb").where(_possible(percent)).select("a", "b").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _linked(B.stage_table(rest.join(tested, ["a", "b"], "left_anti")), classes, percent)
-    final = B.stage_table(components(links.select("a", "b").union(more.select("a", "b"))))
+    if tested is not None:
+        rest = B.stage_table(rest).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _linked(B.stage_table(rest), classes, percent).select("a", "b")
+    final = B.stage_table(components(more if links is None else links.union(more)))
 
     low = first.join(final.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     comp = low.groupBy("label").agg(F.min("low").alias("component_id"))
