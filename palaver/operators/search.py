@@ -47,7 +47,7 @@ def _identified(m: DataFrame) -> DataFrame:
 
 def identity_dedupe(m: DataFrame) -> DataFrame:
     """The first row (smallest msg_id) of each identity; a grouped minimum, so copies combine before the shuffle."""
-    rest = F.struct(*[c for c in ["msg_id", *m.columns] if c not in ("contact", "direction", "ts", "text")])
+    rest = F.struct(*[c for c in dict.fromkeys(["msg_id", *m.columns]) if c not in ("contact", "direction", "ts", "text")])
     return _identified(m).groupBy(*IDENTITY).agg(F.min(rest).alias("r")).select("contact", "direction", "ts", "text", "r.*").select(*dict.fromkeys(m.columns))
 
 
