@@ -35,7 +35,7 @@ FRAGMENTS = 4
 #: Bits of a set's parity.
 PARITY = 1024
 #: Turns of testing centres, at most; what they leave open is tested pair by pair.
-MOST_TURNS = 3
+MOST_TURNS = 2
 #: Open pairs that are tested at once without turns of centres.
 DIRECT = 50_000
 
@@ -128,42 +128,49 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return found.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b", "shared")
 
 
-def _possible(percent: int):
-    """Whether a pair with a common shingle can be similar: sizes, positions in the global order, parities.
+def _fits(percent: int):
+    """Whether a pair with a common shingle can be similar by sizes, and by what follows a first common one in the global order."""
+    need = (percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent)
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
 
-    Sizes must fit, and what follows a first common shingle must suffice. A bit
-    of parity tells whether a set has an odd number of shingles in a cell; sets
-    that differ in d bits differ in d shingles at least.
-    """
+
+def _parity_fits(percent: int):
+    """A bit of parity tells whether a set has an odd number of shingles in a cell; sets that differ in d bits differ in d shingles at least."""
     need = (percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent)
     differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need) & (differ <= F.col("na") + F.col("nb") - 2 * need)
+    return differ <= F.col("na") + F.col("nb") - 2 * need
 
 
 def _opened(tokens: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, int]:
-    """Prefix shingles that classes of different components share, and how many pairs these could be."""
+    """Prefix shingles that classes of different components share, and how many pairs across components these hold."""
     labelled = tokens.withColumn("label", F.col("cls")) if joined is None else tokens.join(joined.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = B.stage_table(labelled)
-    mixed = B.stage_table(labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi"))
-    work = mixed.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-    return labelled.join(mixed.select("tok"), "tok", "left_semi"), int(work)
+    if joined is not None:
+        labelled = B.stage_table(labelled)
+    mixed = labelled.groupBy("tok", "label").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("labels"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("work")).where("labels > 1")
+    mixed = B.stage_table(mixed)
+    return labelled.join(mixed.select("tok"), "tok", "left_semi"), int(mixed.agg(F.sum("work")).first()[0] or 0)
 
 
-def _star_pairs(opened: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
+def _star_pairs(opened: DataFrame, tested: DataFrame | None, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """For each class some centres not tested yet, more at later turns: classes of another component that lead a shared shingle's list.
 
-    The largest component of a list leads, by another of its classes for each
-    shingle and turn, so that a class meets many members before it is held unlike them.
+    Another class leads each shingle's list, and from the second turn on one of
+    the list's largest component, so that a class meets many members before it
+    is held unlike them.
     """
-    sizes = opened.select("label", "cls").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    ranked = opened.join(sizes, "label")
-    order = F.struct((-F.col("size")).alias("s"), "label", F.xxhash64("cls", "tok", F.lit(turn)).alias("h"), "cls", "n", "pos", "parity")
-    heads = ranked.groupBy("tok").agg(F.min(order).alias("c")).select("tok", F.col("c.cls").alias("a"), F.col("c.label").alias("la"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"), F.col("c.parity").alias("xa"))
-    pairs = opened.select("tok", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("parity").alias("xb")).join(heads, "tok").where("la <> lb").where(_possible(percent)).groupBy("a", "b").agg(F.count("*").alias("w"))
+    h, ranked = F.xxhash64("cls", "tok", F.lit(turn)).alias("h"), opened
+    if turn:
+        ranked = opened.join(opened.select("label", "cls").distinct().groupBy("label").agg((-F.count("*")).alias("s")), "label")
+    order = F.struct("s", "label", h, "cls", "n", "pos") if turn else F.struct(h, "label", "cls", "n", "pos")
+    heads = ranked.groupBy("tok").agg(F.min(order).alias("c")).select("tok", F.col("c.cls").alias("a"), F.col("c.label").alias("la"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
+    pairs = opened.select("tok", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(heads, "tok").where("la <> lb").where(_fits(percent)).groupBy("a", "b").agg(F.count("*").alias("w"))
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     best = Window.partitionBy("b").orderBy(F.desc("w"), "a")
-    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 3 * 6**turn).select("a", "b")
+    few = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= 3 * 6**turn).select("a", "b")
+    for s in "ab":
+        few = few.join(classes.select(F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("parity").alias("x" + s)), s)
+    return few.where(_parity_fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +189,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     first = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     live = rows.where("prefix is not null")
     classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"), F.first("parity").alias("parity")))
-    tokens = B.stage_table(classes.select("cls", "n", "unshared", "parity", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", "parity", (F.col("unshared") + F.col("i")).alias("pos")))
+    tokens = B.stage_table(classes.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", (F.col("unshared") + F.col("i")).alias("pos")))
 
     links = tested = None
     opened, work = _opened(tokens, None)
@@ -190,16 +197,17 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     for turn in range(MOST_TURNS):
         if work <= enough:
             break
-        fresh = B.stage_table(_star_pairs(opened, tested, turn, percent))
+        fresh = B.stage_table(_star_pairs(opened, tested, classes, turn, percent))
         new = B.stage_table(_linked(fresh, classes, percent).select("a", "b"))
         tested = fresh if tested is None else B.stage_table(tested.union(fresh))
         links = new if links is None else B.stage_table(links.union(new))
         joined = B.stage_table(components(links))
         opened, work = _opened(tokens, joined)
+    opened = B.stage_table(opened.join(classes.select("cls", "parity"), "cls"))
     side = lambda s: opened.select("tok", F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("label").alias("l" + s), F.col("parity").alias("x" + s))
-    rest = side("a").join(side("b"), "tok").where("a < b and la <> lb").where(_possible(percent)).select("a", "b").distinct()
+    rest = side("a").join(side("b"), "tok").where("a < b and la <> lb").where(_fits(percent) & _parity_fits(percent)).select("a", "b").distinct()
     if tested is not None:
-        rest = B.stage_table(rest).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        rest = B.stage_table(rest).join(tested, ["a", "b"], "left_anti")
     more = _linked(B.stage_table(rest), classes, percent).select("a", "b")
     final = B.stage_table(components(more if links is None else links.union(more)))
 
