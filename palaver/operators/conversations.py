@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio
 
-_DAY, _DAYS = Window.partitionBy("contact", "day").orderBy("ts", "msg_id"), Window.partitionBy("contact").orderBy("day")
-_TO_HERE = (Window.unboundedPreceding, 0)
+
+def _day():
+    return Window.partitionBy("contact", "day").orderBy("ts", "msg_id")
+
+
+def _days():
+    return Window.partitionBy("contact").orderBy("day")
+
+
+def _to_here(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def seconds(late: str, early: str):
@@ -26,16 +35,16 @@ def adjacency(m: DataFrame, gap_hours: int = 6) -> DataFrame:
     A conversation ends where the gap is longer than gap_hours; an equal gap doesn't end it.
     """
     d = m.withColumn("day", F.to_date("ts"))
-    before = d.withColumn("p", F.lag(F.struct("ts", "direction")).over(_DAY))
+    before = d.withColumn("p", F.lag(F.struct("ts", "direction")).over(_day()))
     last = d.groupBy("contact", "day").agg(F.max(F.struct("ts", "msg_id", "direction")).alias("l"))
-    last = last.select("contact", "day", F.lag("l").over(_DAYS).alias("l"))
+    last = last.select("contact", "day", F.lag("l").over(_days()).alias("l"))
     a = before.join(last, ["contact", "day"]).withColumn("prev_ts", F.coalesce("p.ts", "l.ts")).withColumn("prev_dir", F.coalesce("p.direction", "l.direction")).drop("p", "l")
     a = a.withColumn("gap", seconds("ts", "prev_ts"))
     new = F.col("gap").isNull() | (F.col("gap") > gap_hours * 3_600_000_000)
     a = a.withColumn("new_conv", new.cast("long")).withColumn("new_run", (new | (F.col("direction") != F.col("prev_dir"))).cast("long"))
     offs = a.groupBy("contact", "day").agg(F.sum("new_conv").alias("c"), F.sum("new_run").alias("r"))
-    offs = offs.select("contact", "day", (F.sum("c").over(_DAYS.rowsBetween(*_TO_HERE)) - F.col("c")).alias("c0"), (F.sum("r").over(_DAYS.rowsBetween(*_TO_HERE)) - F.col("r")).alias("r0"))
-    running = lambda c: F.sum(c).over(_DAY.rowsBetween(*_TO_HERE))
+    offs = offs.select("contact", "day", (F.sum("c").over(_to_here(_days())) - F.col("c")).alias("c0"), (F.sum("r").over(_to_here(_days())) - F.col("r")).alias("r0"))
+    running = lambda c: F.sum(c).over(_to_here(_day()))
     return a.join(offs, ["contact", "day"]).withColumn("conv_no", F.col("c0") + running("new_conv")).withColumn("run_no", F.col("r0") + running("new_run")).drop("c0", "r0", "day")
 
 

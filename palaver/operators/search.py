@@ -86,7 +86,7 @@ def wrapped(m: DataFrame, year: int) -> DataFrame:
     adj = C.adjacency(own)
     o = volume.overview(own).select("total", "sent", "received", ratio("sent", "total", 3).alias("sent_share"), "per_day", F.col("contacts").alias("people"))
     people = volume.contact_frequency(own, 2).agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("k"), "first", "contact"))).alias("p")).select(F.get("p", F.lit(0))["contact"].alias("top_contact"), F.get("p", F.lit(1))["contact"].alias("runner_up"))
-    written = own.where(volume.SENT & ~is_media(F.col("text"))).agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0)).cast("long").alias("words_written"))
+    written = own.where(volume.sent() & ~is_media(F.col("text"))).agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0)).cast("long").alias("words_written"))
     summary = C.conversation_summary(C.conversation_health(adj)).select("conversations", ratio("you_opened", "conversations", 3).alias("you_opened_share"))
     one = lambda df, **names: df.agg(*[F.first(c).alias(n) for c, n in names.items()])
     parts = [people, written, volume.peaks(own), one(volume.busiest_day(own), day="busiest_day", n="busiest_count"), volume.night_share(own), C.reply_latency(adj).select("you_micros", "them_micros"), summary, one(volume.longest_streak(own), days="streak_days", start="streak_start")]

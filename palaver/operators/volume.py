@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_media, ratio, words_of
 
-SENT, RECEIVED = F.col("direction") == "sent", F.col("direction") == "received"
+
+def sent():
+    return F.col("direction") == "sent"
+
+
+def received():
+    return F.col("direction") == "received"
 
 
 def _span():
@@ -16,7 +22,7 @@ def _span():
 
 def overview(m: DataFrame) -> DataFrame:
     """One row: totals and the calendar span; an empty table gives zeros and nulls."""
-    g = m.agg(F.count("*").alias("total"), F.count_if(SENT).alias("sent"), F.count_if(RECEIVED).alias("received"), F.count_distinct("contact").alias("contacts"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.coalesce(_span(), F.lit(0).cast("long")).alias("days"))
+    g = m.agg(F.count("*").alias("total"), F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"), F.count_distinct("contact").alias("contacts"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.coalesce(_span(), F.lit(0).cast("long")).alias("days"))
     return g.withColumn("per_day", ratio("total", "days", 2))
 
 
@@ -24,8 +30,8 @@ def contact_frequency(m: DataFrame, limit: int | None = None) -> DataFrame:
     """Per contact, most messages first (ties: seen first, then by name); averages leave media out."""
     n = F.when(~is_media(F.col("text")), F.size(words_of(F.col("text"))))
     by = m.withColumn("n", n).groupBy("contact").agg(
-        F.count("*").alias("total"), F.count_if(SENT).alias("sent"), F.count_if(RECEIVED).alias("received"), F.sum(F.when(SENT, F.col("n"))).alias("ws"), F.count(F.when(SENT, F.col("n"))).alias("ns"), F.sum(F.when(RECEIVED, F.col("n"))).alias("wr"), F.count(F.when(RECEIVED, F.col("n"))).alias("nr"),
-        F.min("ts").alias("first"), F.max("ts").alias("last"), _span().alias("active_days"), F.count_distinct(F.when(RECEIVED, F.col("sender"))).alias("members"),
+        F.count("*").alias("total"), F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"), F.sum(F.when(sent(), F.col("n"))).alias("ws"), F.count(F.when(sent(), F.col("n"))).alias("ns"), F.sum(F.when(received(), F.col("n"))).alias("wr"), F.count(F.when(received(), F.col("n"))).alias("nr"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"), _span().alias("active_days"), F.count_distinct(F.when(received(), F.col("sender"))).alias("members"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = by.select("contact", "total", "sent", "received", ratio("sent", "total", 3).alias("sent_share"), ratio(zero("ws"), zero("ns"), 1).alias("avg_words_sent"), ratio(zero("wr"), zero("nr"), 1).alias("avg_words_received"), "first", "last", "active_days", ratio("total", "active_days", 2).alias("per_day"), (F.col("members") > 1).alias("is_group"))
@@ -33,12 +39,12 @@ def contact_frequency(m: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def contact_members(m: DataFrame) -> DataFrame:
-    return m.where(RECEIVED).groupBy("contact", "sender").agg(F.count("*").alias("n"))
+    return m.where(received()).groupBy("contact", "sender").agg(F.count("*").alias("n"))
 
 
 def by_part(m: DataFrame, part, size: int, name: str) -> DataFrame:
     """Dense rows 0..size-1 with counts by direction."""
-    counts = m.groupBy(part.cast("long").alias(name)).agg(F.count_if(SENT).alias("sent"), F.count_if(RECEIVED).alias("received"))
+    counts = m.groupBy(part.cast("long").alias(name)).agg(F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"))
     return m.sparkSession.range(size).withColumnRenamed("id", name).join(counts, name, "left").na.fill(0)
 
 
@@ -57,7 +63,7 @@ def heatmap(m: DataFrame) -> DataFrame:
 
 
 def by_month(m: DataFrame) -> DataFrame:
-    return m.groupBy(F.year("ts").cast("long").alias("year"), F.month("ts").cast("long").alias("month")).agg(F.count_if(SENT).alias("sent"), F.count_if(RECEIVED).alias("received"))
+    return m.groupBy(F.year("ts").cast("long").alias("year"), F.month("ts").cast("long").alias("month")).agg(F.count_if(sent()).alias("sent"), F.count_if(received()).alias("received"))
 
 
 def busiest_day(m: DataFrame) -> DataFrame:
