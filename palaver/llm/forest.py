@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Trees, bits of a string, vectors in a block, queries in a pack, share of a block that a query ranks at least.
-TREES, BITS, BLOCK, PACK, SHARE = 48, 32, 4096, 256, 0.6
+TREES, BITS, BLOCK, PACK, SHARE = 48, 32, 4096, 256, 0.7
 
 
 def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
