@@ -200,7 +200,7 @@ def test_language_model_base_scores_and_gradient(docs, none):
 
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     x = np.random.default_rng(2).standard_normal((3000, 16))
-    x[100:140] = x[100]
+    x[100:140] = 2 * x[100] / np.linalg.norm(x[100]) * 4
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (None, [1.0] * 16), (5060, [1.0, None] * 8)]
     got = forest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     found = collections.defaultdict(dict)
