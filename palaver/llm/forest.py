@@ -10,7 +10,8 @@ Vectors are dealt into blocks by a hash of their id; each block has its own
 forest, queries are sent in packs to all blocks (a stated query set against all
 rows, in blocks), and the best of all blocks are merged. The share of a block
 that is ranked stays the same at any size, and so does recall. To rank by inner
-product, vectors get one more component that makes all norms equal.
+product, vectors get one more component that makes all norms equal, and queries
+a zero there: angles then order as inner products do.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def strings(x: np.ndarray, most: float, trees: int, bits: int, seed: int = 17) -> np.ndarray:
-    """(trees, rows) hash strings as integers; rows are extended to the norm `most` first."""
+    """(trees, rows) hash strings as integers; rows are extended to the norm `most` first (0: queries, whose last component is 0)."""
     rest = np.sqrt(np.maximum(most * most - (x * x).sum(axis=1), 0))
     full = np.column_stack([x, rest])
     planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((full.shape[1], trees * bits))
@@ -109,7 +110,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
             for pack in queries.filter(pa.compute.equal(queries.column("d"), d)).column("q"):
                 q = pack.as_py()
                 y = np.array([z["v"] for z in q], float).reshape(-1, d)
-                for i, rows_of in enumerate(forest.candidates(strings(y, norms[d], TREES, BITS), want)):
+                for i, rows_of in enumerate(forest.candidates(strings(y, 0.0, TREES, BITS), want)):
                     me, scores = q[i]["vec_id"], x[rows_of] @ y[i]
                     if len(scores) > k + 1:
                         least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
