@@ -71,10 +71,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int,
 
     def features(ids, buf, offsets):
         f, at = shape_ngrams(buf, offsets, BITS)
-        return {"doc_id": ids, "f": pa.array([f[a:b].astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))}
+        return {"doc_id": ids, "f": pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())}
 
-    got, counts = sample(docs, labels, label, modulus, rest, bound, features, "doc_id long, f array<int>")
-    rows, y = [np.array(r["f"], np.int64) for r in got], np.array([1 if r["y"] else -1 for r in got])
+    got, counts = sample(docs, labels, label, modulus, rest, bound, features, "doc_id long, f binary")
+    rows, y = [np.frombuffer(r["f"], np.int32) for r in got], np.array([1 if r["y"] else -1 for r in got])
     n = {c: max(1, int((y == c).sum())) for c in (-1, 1)}
     if not len(y) or len(set(y.tolist())) < 2:
         return np.zeros(1 << BITS), float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))
