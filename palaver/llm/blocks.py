@@ -55,7 +55,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
