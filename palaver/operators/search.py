@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_media, ratio, whole_word, words_of
@@ -66,6 +67,21 @@ def append(existing_path: str, batch: DataFrame) -> int:
     return n
 
 
+def append_or_create(path: str, batch: DataFrame) -> int:
+    """As append; the first batch makes the table."""
+    spark = batch.sparkSession
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        batch.limit(0).write.mode("ignore").parquet(path)
+    return append(path, batch)
+
+
+def clear(path: str, spark: SparkSession) -> None:
+    """Leaves the table without rows."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
 def import_report(parsed: DataFrame, added: DataFrame, fmt: str) -> DataFrame:
     a = parsed.agg(F.count("*").alias("parsed"), F.count_distinct("contact").alias("contacts"), F.count_if(F.col("direction") == "sent").alias("s"))
     note = F.when((F.col("parsed") > 0) & (F.col("s") == F.col("parsed")), "all messages are sent").when((F.col("parsed") > 0) & (F.col("s") == 0), "all messages are received").otherwise("")

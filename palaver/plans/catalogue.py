@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EMOJI, MEDIA, WORD
 from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
-from ..operators import claims, conversations, lexical, search, volume
+from ..operators import claims, conversations, extract, lexical, search, volume
 from ..sources import decode
 from ..sources.driver_tables import CONVERSATIONS_SQL, EVENTS_SQL, messages_from_conversations, messages_from_events
 
@@ -160,6 +160,8 @@ _add("myth_sentences", claims.myths_in, "SELECT msg_id, sentence_no, CASE WHEN r
 _add("appeal_detect", claims.appeals_in, "SELECT msg_id, sentence_no, arg_min(name, ord) AS appeal FROM sents JOIN (VALUES " + ", ".join(f"({o}, {_q(n)}, {_q(p)})" for o, n, p in claims.APPEALS) + ") t(ord, name, pattern) ON regexp_matches(s, pattern) GROUP BY 1, 2", more=_SENTS)
 _add("fact_verdict_bands", _with_facts(claims.verdicts), "SELECT msg_id, claim_no, pct.value, fact_id, CASE WHEN abs(pct.value - f.value) <= 3 THEN 'fair' WHEN abs(pct.value - f.value) <= 10 THEN 'close' ELSE 'off' END AS verdict FROM pct JOIN topic USING (msg_id) JOIN facts f ON f.id = fact_id", more=f"{_PCT}, {_TOPIC}, {_FACTS}")
 _add("pack_counts", _with_facts(lambda m, f: claims.pack_counts(f)), "SELECT pack, count(*) AS facts FROM facts GROUP BY pack", more=_FACTS)
+# tested on hand-made texts; the patterns look ahead, which the SQL engine can't
+_add("claims_extracted", lambda m: extract.extract_claims(m).select("msg_id", "start", "kind", "value", "quantifier", "core", "subject"))
 
 # source decoding, over events as rows of an export
 _add("alias_pick", decode.demo_alias, "SELECT msg_id, coalesce(nullif(CASE WHEN msg_id % 3 = 0 THEN text END, ''), nullif(contact, '')) AS value, CASE WHEN msg_id % 3 = 0 AND text <> '' THEN 'body' ELSE 'message' END AS alias FROM msgs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decode
+from . import archives, decode
 
 # Date and time patterns of text exports, day first or month first.
 _DATES = {True: ["d/M/yyyy", "d/M/yy", "d.M.yyyy", "d.M.yy"], False: ["M/d/yyyy", "M/d/yy"]}
@@ -101,7 +101,7 @@ def chat_tables(message: DataFrame, handle: DataFrame, link: DataFrame, chat: Da
     return j.where("text is not null and text <> ''").select(contact.alias("contact"), F.when(me, "me").otherwise(F.coalesce("id", contact)).alias("sender"), F.when(me, "sent").otherwise("received").alias("direction"), F.from_utc_timestamp(F.timestamp_seconds(seconds), zone).cast("timestamp_ntz").alias("ts"), "text", F.lit("imessage").alias("source"))
 
 
-READERS = {"whatsapp": text_export, "csv": csv_export, "json": json_export, "sms": sms_export, "meta": meta_export, "telegram": telegram_export}
+READERS = {"whatsapp": text_export, "csv": csv_export, "json": json_export, "sms": sms_export, "meta": meta_export, "telegram": telegram_export, "discord": archives.discord_export, "json_by_contact": archives.json_by_contact}
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str, self_name: str) -> DataFrame:
