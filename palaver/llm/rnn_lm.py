@@ -5,16 +5,20 @@ carried from window to window, so that a document's score is the likelihood of
 all of it. The output is factored: a class of words first, then the word within
 its class. Weights are fitted by truncated backpropagation in numpy.
 
-What covers the whole corpus: the counts of all words in the training documents,
-through which the base score is computed, the vocabulary and the output biases
-are chosen, and words outside the vocabulary get their share of the probability of
-"unknown". The recurrent weights are fitted on a bounded sample of training
-documents (SAMPLE_DOCS, each in whole).
+Everything is learned from all training documents. Their counts give the base
+score, the vocabulary, the output biases, and the share of "unknown" that a word
+outside the vocabulary gets. The recurrent weights are fitted in rounds, each on
+another part of the documents, together all of them once: every partition trains
+on from the weights of the round before, and the new weights are averaged in Spark
+by the tokens that each partition read. The vocabulary grows with the square
+root of the text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,11 @@ from . import blocks as B
 from .labelled import held_out
 from .textcore import U64, Words
 
-#: Classes, words in a class, units, documents that the recurrent weights are fitted on.
+#: Least classes and words in a class, units, documents of the first round (which takes a sixteenth at least).
 CLASSES, WIDTH, UNITS, SAMPLE_DOCS = 32, 32, 24, 1200
 UNKNOWN, END = 0, 1
+#: Rates of the rounds, and weights in a row of the averages.
+RATES, CHUNK = (0.01, 0.01, 0.006, 0.003), 1 << 16
 _END_KEY = np.array([0x5DEECE66D1234567], U64)
 
 
@@ -38,18 +44,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def classes_of(text_bytes: int) -> int:
+    """Classes, and words in each, for so much text: half the square root of its words make the vocabulary."""
+    return max(CLASSES, math.ceil(math.sqrt(math.sqrt(text_bytes / 6) / 2)))
+
+
 class Model:
     """Weights: input rows per word, recurrent matrix, class and word outputs with biases."""
 
     def __init__(self, counts: np.ndarray, units: int = UNITS, seed: int = 3):
-        rng, v = np.random.default_rng(seed), CLASSES * WIDTH
-        share = (counts + 0.5).reshape(CLASSES, WIDTH)
+        rng, v = np.random.default_rng(seed), len(counts)
+        self.width = math.isqrt(v)
+        share = (counts + 0.5).reshape(-1, self.width)
         f = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.p = {
-            "x": f(v, 3 * units), "u": f(units, 3 * units), "c": f(units, CLASSES), "w": f(CLASSES, units, WIDTH),
+            "x": f(v, 3 * units), "u": f(units, 3 * units), "c": f(units, len(share)), "w": f(len(share), units, self.width),
             "bc": np.log(share.sum(axis=1) / share.sum()).astype(np.float32), "bw": np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32),
         }
-        self.units = units
+        self.units, self.seen = units, 0
+        self.m1, self.m2, self.t = None, None, 0
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k], at = flat[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
 
     def step(self, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.units
@@ -61,7 +82,7 @@ class Model:
 
     def outputs(self, s: np.ndarray, target: np.ndarray, grad: dict | None = None, weight: np.ndarray | None = None):
         """Log probability of each target; with grad, also adds gradients and returns that of the states."""
-        cls, within = target // WIDTH, target % WIDTH
+        cls, within = target // self.width, target % self.width
         logits = s @ self.p["c"] + self.p["bc"]
         logits -= logits.max(axis=1, keepdims=True)
         e = np.exp(logits)
@@ -76,8 +97,8 @@ class Model:
             grad["bc"] += d.sum(axis=0)
             back = d @ self.p["c"].T
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        edge = np.searchsorted(cls[order], np.arange(len(self.p["w"]) + 1))
+        for k in range(len(self.p["w"])):
             at = order[edge[k] : edge[k + 1]]
             if not len(at):
                 continue
@@ -95,50 +116,54 @@ class Model:
                 back[at] += d @ self.p["w"][k].T
         return said, back
 
-    def fit(self, docs: list[np.ndarray], lanes: int = 48, window: int = 24, rounds: int = 2, rate: float = 0.01) -> None:
+    def fit(self, docs: list[np.ndarray], lanes: int = 192, window: int = 24, rate: float = 0.01) -> None:
         """Truncated backpropagation: gradients run back through a window, the state runs on through the document."""
         stream = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        lanes = max(1, min(lanes, len(stream) // (4 * window)))
-        steps = len(stream) // lanes
-        if steps < 2:
+        if not len(stream):
             return
-        target = stream[: steps * lanes].reshape(lanes, steps).T
+        lanes = max(1, min(lanes, len(stream) // (4 * window)))
+        steps = -(-len(stream) // lanes)
+        real = (np.arange(steps * lanes) < len(stream)).reshape(lanes, steps).T
+        target = np.append(stream, np.full(steps * lanes - len(stream), END)).reshape(lanes, steps).T
         before = np.vstack([np.full((1, lanes), END), target[:-1]])
-        m1, m2, t, n = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0, self.units
-        for _ in range(rounds):
-            h = np.zeros((lanes, n), np.float32)
-            for a in range(0, steps, window):
-                b, kept = min(steps, a + window), []
-                for i in range(a, b):
-                    h = h * (before[i] != END)[:, None].astype(np.float32)
-                    out = self.step(h, before[i])
-                    kept.append((h, *out))
-                    h = out[0]
-                grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-                states = np.concatenate([k[1] for k in kept])
-                flat = target[a:b].ravel()
-                _, back = self.outputs(states, flat, grad, np.full(len(flat), 1 / len(flat), np.float32))
-                back = back.reshape(b - a, lanes, n)
-                dh = np.zeros((lanes, n), np.float32)
-                for i in range(b - a - 1, -1, -1):
-                    prev, _, z, r, new, un = kept[i]
-                    dh = dh + back[i]
-                    dnew = dh * (1 - z) * (1 - new * new)
-                    dz = dh * (prev - new) * z * (1 - z)
-                    dr = dnew * un * r * (1 - r)
-                    du = np.hstack([dz, dr, dnew * r])
-                    np.add.at(grad["x"], before[a + i], np.hstack([dz, dr, dnew]))
-                    grad["u"] += prev.T @ du
-                    dh = dh * z + du @ self.p["u"].T
-                    dh *= (before[a + i] != END)[:, None]
-                t += 1
-                size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                for k, g in grad.items():
-                    g *= min(1.0, 1.0 / max(size, 1e-9))
-                    m1[k] += 0.1 * (g - m1[k])
-                    m2[k] += 0.01 * (g * g - m2[k])
-                    self.p[k] -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-6)
-            rate *= 0.3
+        if self.m1 is None:
+            self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        n, h = self.units, np.zeros((lanes, self.units), np.float32)
+        for a in range(0, steps, window):
+            b, kept = min(steps, a + window), []
+            for i in range(a, b):
+                h = h * (before[i] != END)[:, None].astype(np.float32)
+                out = self.step(h, before[i])
+                kept.append((h, *out))
+                h = out[0]
+            grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+            states = np.concatenate([k[1] for k in kept])
+            weight = real[a:b].ravel().astype(np.float32)
+            _, back = self.outputs(states, target[a:b].ravel(), grad, weight / max(1.0, float(weight.sum())))
+            back = back.reshape(b - a, lanes, n)
+            dh, into = np.zeros((lanes, n), np.float32), np.empty((b - a, lanes, 3 * n), np.float32)
+            for i in range(b - a - 1, -1, -1):
+                prev, _, z, r, new, un = kept[i]
+                dh = dh + back[i]
+                dnew = dh * (1 - z) * (1 - new * new)
+                dz = dh * (prev - new) * z * (1 - z)
+                dr = dnew * un * r * (1 - r)
+                du = np.hstack([dz, dr, dnew * r])
+                into[i, :, :n], into[i, :, n : 2 * n], into[i, :, 2 * n :] = dz, dr, dnew
+                grad["u"] += prev.T @ du
+                dh = dh * z + du @ self.p["u"].T
+                dh *= (before[a + i] != END)[:, None]
+            word = before[a:b].ravel()
+            order = np.argsort(word, kind="stable")
+            edge = np.flatnonzero(np.diff(word[order], prepend=-1))
+            grad["x"][word[order[edge]]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], edge)
+            self.t, self.seen = self.t + 1, self.seen + int(weight.sum())
+            size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            for k, g in grad.items():
+                g *= min(1.0, 1.0 / max(size, 1e-9))
+                self.m1[k] += 0.1 * (g - self.m1[k])
+                self.m2[k] += 0.01 * (g * g - self.m2[k])
+                self.p[k] -= rate * (self.m1[k] / (1 - 0.9**self.t)) / (np.sqrt(self.m2[k] / (1 - 0.99**self.t)) + 1e-6)
 
     def log_likelihood(self, tokens: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Natural log probability of each document tokens[ptr[i]:ptr[i+1]]; many documents advance together."""
@@ -176,6 +201,51 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(words.hashes(lower=True), words.ptr[1:], np.repeat(_END_KEY, len(offsets) - 1)), words.ptr + np.arange(len(offsets))
 
 
+def train(own: DataFrame, counts: np.ndarray, ids_of: Callable, first: int, modulus: int, rest: int) -> Model:
+    """A model of all documents that aren't held out; seen is the number of tokens that it learned from."""
+    spark, model = own.sparkSession, Model(counts)
+    own = own.where(~held_out(F.col("doc_id"), modulus, rest))
+    begin = min(0.25, max(1 / 16, first / max(1, own.count())))
+    edges = [0, *(round((begin + (1 - begin) * i / (len(RATES) - 1)) * 1024) for i in range(len(RATES)))]
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1024))
+
+    def learn(weights, rate: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            local, held, size = Model(counts), [], 0
+            local.load(weights.value)
+            for batch in batches:
+                lengths = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+                at = 0
+                while at < batch.num_rows:
+                    done = lengths[at - 1] if at else 0
+                    end = max(at + 1, int(np.searchsorted(lengths, done + (2 << 20), side="right")))
+                    held.append(ids_of(_tokens(*B.text_bytes_of(batch.column(1).slice(at, end - at)))[0]))
+                    size, at = size + len(held[-1]), end
+                    if size >= 250_000:
+                        local.fit(held, rate=rate)
+                        held, size = [], 0
+            local.fit(held, rate=rate)
+            flat = local.flat().astype(np.float64) * local.seen
+            cut = range(0, len(flat), CHUNK) if local.seen else []
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // CHUNK for i in cut], pa.int32()), "seen": pa.array([local.seen] * len(cut), pa.int64()), "w": pa.array([flat[i : i + CHUNK].tobytes() for i in cut], pa.binary())})
+
+        return run
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table.column("w"))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "seen": pa.array([pa.compute.sum(table.column("seen")).as_py()], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "chunk int, seen long, w binary"
+    for rate, low, high in zip(RATES, edges, edges[1:], strict=False):
+        weights = spark.sparkContext.broadcast(model.flat())
+        sums = own.where((part >= low) & (part < high)).mapInArrow(learn(weights, rate), schema).groupBy("chunk").applyInArrow(add, schema).collect()
+        if sums:
+            model.load(np.concatenate([np.frombuffer(r["w"]) / r["seen"] for r in sorted(sums, key=lambda r: r["chunk"])]))
+            model.seen += sums[0]["seen"]
+        weights.unpersist()
+    return model
+
+
 def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every row.
 
@@ -186,7 +256,7 @@ def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1, sample_docs: i
     """
     own = B.documents(docs, id_col, text_col)
     blocks = B.Blocks(own, block_bytes=8 << 20)
-    size = CLASSES * WIDTH
+    size = classes_of(blocks.bytes) ** 2
 
     def send(ids, buf, offsets):
         keys, ptr = _tokens(buf, offsets)
@@ -220,15 +290,9 @@ def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1, sample_docs: i
         at = np.minimum(np.searchsorted(known, k), len(known) - 1)
         return np.where(known[at] == k, number[at], UNKNOWN)
 
-    def learn(ids, buf, offsets):
-        k, ptr = _tokens(buf, offsets)
-        t = ids_of(k).astype(np.int32)
-        return {"t": pa.array([t[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.list_(pa.int32()))}
-
-    chosen = own.select("doc_id").where(~held_out(F.col("doc_id"), modulus, rest) & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = B.map_documents(own.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text"), learn, "t array<int>").limit(2 * sample_docs)
-    model = Model(counts)
-    model.fit([np.array(r["t"], np.int64) for r in sample.collect()])
+    model = train(own, counts, ids_of, sample_docs, modulus, rest)
+    if model.seen != all_tokens:
+        raise ValueError("the model learned from other tokens than were counted: the input gave other rows when read again")
 
     def score(ids, buf, offsets, got):
         k, ptr = _tokens(buf, offsets)

@@ -198,6 +198,21 @@ def test_language_model_base_scores_and_gradient(docs, none):
     assert np.isclose(both[0], m.log_likelihood(tokens, np.array([0, 50]))[0]) and np.isclose(both[1], m.log_likelihood(tokens[:7], np.array([0, 7]))[0], rtol=1e-4)
 
 
+def test_language_model_learns_from_all_documents(spark):
+    rng = np.random.default_rng(4)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    order = {i: " ".join(f"v{(i + j) % 12}" for j in range(60)) for i in range(2000)}
+    mixed = {**order, held[0]: " ".join(rng.permutation(order[held[0]].split()))}
+    assert sorted(mixed[held[0]].split()) == sorted(order[held[0]].split())
+    d = spark.createDataFrame(list(mixed.items()), "doc_id long, text string")
+    got = by_id(rnn_lm.score_texts(d, sample_docs=1))
+    assert got[held[1]]["base_score"] - got[held[0]]["base_score"] < 1 and got[held[1]]["score"] > got[held[0]]["score"] + 15
+    own = blocks.documents(d)
+    model = rnn_lm.train(own, np.ones(1024), lambda k: (k % np.uint64(1022)).astype(np.int64) + 2, 1, 5, 1)
+    assert model.seen == got[0]["train_tokens"] == 61 * (2000 - len(held))
+    assert rnn_lm.classes_of(0) == 32 < rnn_lm.classes_of(10**9) < rnn_lm.classes_of(3 * 10**10)
+
+
 def test_neighbours_recall_ties_and_odd_vectors(spark):
     x = np.random.default_rng(2).standard_normal((3000, 16))
     x[100:140] = 2 * x[100] / np.linalg.norm(x[100]) * 4
