@@ -30,46 +30,68 @@ def _windows(buf, offsets, k):
     return words, starts, windows(h, k)[starts] if len(starts) else h[:0]
 
 
-def _id_values(ids: pa.Array) -> np.ndarray:
-    return ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-
-
-def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, B.Blocks]:
+def _order_keys(ids: pa.Array, ptr: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each row, nulls as the least, and what orders rows of equal id: a given row key, or the place of rows without id."""
+    own = ids.field(0) if pa.types.is_struct(ids.type) else ids
+    doc = own.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+    if own is not ids:
+        return doc, ids.field(1).to_numpy(zero_copy_only=False)
+    place = ((block >> 32) << 44) + ((block & (2**32 - 1)) << 22) + ptr[:-1]
+    return doc, np.where(own.is_null().to_numpy(zero_copy_only=False), place, 0)
+
+
+def _repeats(ids, buf, offsets, k, bits, counts, block):
+    """Windows that may repeat, sorted by their two hashes: words, where each begins, where each distinct one's first stands
+    in the arrays, the number of each one's group, which come later than an equal one of the block, hashes, ids and ties."""
+    words, starts, h = _windows(buf, offsets, k)
+    often = np.flatnonzero(B.counts_for(h, counts, bits) >= 2)
+    h, at = h[often], starts[often]
+    g = windows(words.hashes(kind=12), k, kind=12)[at] if len(at) else h
+    row = np.searchsorted(words.ptr, at, side="right") - 1
+    doc, tie = (v[row] if len(row) else np.zeros(0, np.int64) for v in _order_keys(ids, words.ptr, block))
+    order = np.lexsort((at, tie, doc, g, h))
+    h, g, at, row, doc, tie = (v[order] for v in (h, g, at, row, doc, tie))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    least = first[group] if len(h) else group
+    later = (doc > doc[least]) | ((doc == doc[least]) & (tie > tie[least]))
+    later[1:] |= ~new[1:] & (row[1:] == row[:-1])
+    return words, at, first, group, later, h, g, doc, tie
+
+
+def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, B.Blocks]:
     """The packed blocks, and replies that hold for each block which of its windows come later than an equal one."""
     own = B.documents(docs, id_col, text_col)
+    if row_col:
+        own = docs.select(F.struct(docs[id_col].cast("long").alias("doc_id"), docs[row_col].alias("row")).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     blocks = B.Blocks(own)
     bits, frags = B.sketch_bits(blocks.bytes // 6), blocks.frags
     estimates = B.merged_counts(blocks, lambda ids, buf, offsets: _windows(buf, offsets, k)[2], bits, cap=2)
 
     def send(ids, buf, offsets, got):
-        words, starts, h = _windows(buf, offsets, k)
-        often = np.flatnonzero(B.counts_for(h, got, bits) >= 2)
-        order = often[np.argsort(h[often], kind="stable")]
-        h, at = h[order], starts[order]
-        owner = np.searchsorted(words.ptr, at, side="right") - 1
-        second = windows(words.hashes(kind=12), k, kind=12)[at] if len(at) else h
+        block = next(iter(got.values()))["block"] if got else 0
+        _, _, at, _, _, h, g, doc, tie = _repeats(ids, buf, offsets, k, bits, got, block)
+        h, g, doc, tie = h[at], g[at], doc[at].view(U64), tie[at].view(U64)
         edge = B.cuts(h, frags, 64)
         full = [f for f in range(frags) if edge[f] < edge[f + 1]]
         part = lambda v, z: pa.array([z(v[edge[f] : edge[f + 1]]) for f in full], pa.binary())
-        doc = _id_values(ids)[owner].view(U64) if len(owner) else owner.astype(U64)
-        return {"frag": pa.array(full, pa.int32()), "h": part(h, B.zip_sorted), "g": part(second, B.zip_planes), "doc": part(doc, B.zip_planes), "at": part((at - words.ptr[owner]).astype(U64) if len(at) else doc, B.zip_planes)}
+        return {"block": pa.array([block] * len(full), pa.int64()), "frag": pa.array(full, pa.int32()), "h": part(h, B.zip_sorted), "g": part(g, B.zip_planes), "doc": part(doc, B.zip_planes), "tie": part(tie, B.zip_planes)}
 
-    def with_block(ids, buf, offsets, got):
-        out = send(ids, buf, offsets, got)
-        block = next(iter(got.values()))["block"] if got else 0
-        return {"block": pa.array([block] * len(out["frag"]), pa.int64())} | out
-
-    sent = blocks.answer(estimates, with_block, "block long, frag int, h binary, g binary, doc binary, at binary")
+    sent = blocks.answer(estimates, send, "block long, frag int, h binary, g binary, doc binary, tie binary")
 
     def first(table: pa.Table) -> pa.Table:
-        parts = {c: [(B.unzip_sorted if c == "h" else B.unzip_planes)(x.as_buffer()) for x in table.column(c)] for c in ("h", "g", "doc", "at")}
+        parts = {c: [(B.unzip_sorted if c == "h" else B.unzip_planes)(x.as_buffer()) for x in table.column(c)] for c in ("h", "g", "doc", "tie")}
         sizes = [len(x) for x in parts["h"]]
-        h, g, at = (np.concatenate(parts[c]) for c in ("h", "g", "at"))
-        doc = np.concatenate(parts["doc"]).view(np.int64)
-        order = np.lexsort((at, doc, g, h))
-        h, g = h[order], g[order]
+        h, g = (np.concatenate(parts[c]) for c in ("h", "g"))
+        doc, tie = (np.concatenate(parts[c]).view(np.int64) for c in ("doc", "tie"))
+        order = np.lexsort((tie, doc, g, h))
+        h, g, doc, tie = h[order], g[order], doc[order], tie[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        least = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = np.zeros(len(h), np.uint8)
-        later[order[1:]] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        later[order] = (doc > doc[least]) | ((doc == doc[least]) & (tie > tie[least]))
         answers = [B.zip_planes(np.packbits(x)) for x in np.split(later, np.cumsum(sizes)[:-1])]
         return pa.table({"block": table.column("block"), "frag": table.column("frag"), "counts": pa.array(answers, pa.binary()), "size": pa.array(sizes, pa.int64())})
 
@@ -78,35 +100,36 @@ def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     return blocks, kinds, bits
 
 
-def covered_words(buf, offsets, got, k, bits) -> tuple[Words, np.ndarray]:
+def covered_words(ids, buf, offsets, got, k, bits) -> tuple[Words, np.ndarray]:
     """The words of a block, and which of them a repeated window covers."""
-    words, starts, h = _windows(buf, offsets, k)
-    often = np.flatnonzero(B.counts_for(h, {f[1:]: r for f, r in got.items() if f[0] == 0}, bits) >= 2)
-    order = often[np.argsort(h[often], kind="stable")]
+    block = next(iter(got.values()))["block"] if got else 0
+    words, at, first, group, later, *_ = _repeats(ids, buf, offsets, k, bits, {f[1:]: r for f, r in got.items() if f[0] == 0}, block)
     flags = [np.unpackbits(B.unzip_planes(r["counts"]).astype(np.uint8), count=r["size"]) for _, r in sorted((f, r) for f, r in got.items() if f[0] == 1)]
     flags = np.concatenate(flags) if flags else np.zeros(0, np.uint8)
-    if len(flags) != len(order):
+    if len(flags) != len(first):
         raise ValueError("a block's replies don't fit its windows: the input gave other rows when read again")
     cover = np.zeros(int(words.ptr[-1]) + 1, np.int32)
-    hit = starts[order[flags == 1]]
+    hit = at[later | (flags == 1)[group]]
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + k, -1)
     return words, np.cumsum(cover[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, row_col: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, and kept (the words left, joined by one space) or its kept_sha256 (digest=True).
 
     A word goes if a window of k words covers it whose words also start earlier:
     in a smaller id, or earlier in the same document. Windows are those of the
-    input. Null texts have no words; rows without id come before all others;
-    of rows with the same id, equal places count as one order that is fixed
-    within a run. Short texts (under k words) stay whole. Extra columns are not read.
+    input. Null texts have no words; rows without id come before all others, in
+    the order in which they are read. Of rows with the same id none comes earlier, so none
+    loses words to another. row_col: a key of rows (long, not null, each once) that
+    orders rows of equal or no id, and becomes the column row of the result.
+    Short texts (under k words) stay whole. Extra columns are not read.
     """
-    blocks, replies, bits = repeated_spans(docs, k, id_col, text_col)
+    blocks, replies, bits = repeated_spans(docs, k, id_col, text_col, row_col)
 
     def clean(ids, buf, offsets, got):
-        words, gone = covered_words(buf, offsets, got, k, bits)
+        words, gone = covered_words(ids, buf, offsets, got, k, bits)
         removed = np.concatenate(([0], np.cumsum(gone)))[words.ptr]
         raw, kept = buf.tobytes(), []
         for i in range(len(ids)):
@@ -114,6 +137,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_
             live = np.flatnonzero(~gone[a:b]) + a
             text = b" ".join([raw[s:e] for s, e in zip(words.starts[live].tolist(), words.ends[live].tolist(), strict=True)])
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-        return {"doc_id": ids, "n_words": pa.array(np.diff(words.ptr)), "n_removed": pa.array(np.diff(removed)), "kept_sha256" if digest else "kept": pa.array(kept, pa.string())}
+        key = {"doc_id": ids.field(0), "row": ids.field(1)} if row_col else {"doc_id": ids}
+        return key | {"n_words": pa.array(np.diff(words.ptr)), "n_removed": pa.array(np.diff(removed)), "kept_sha256" if digest else "kept": pa.array(kept, pa.string())}
 
-    return blocks.answer(replies, clean, f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
+    return blocks.answer(replies, clean, f"doc_id long, {'row long, ' if row_col else ''}n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")

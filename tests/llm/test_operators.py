@@ -96,6 +96,20 @@ def test_substring_equals_brute_force(docs, none):
     assert substring.dedup_substrings(none).count() == 0
 
 
+def test_substring_of_rows_with_repeated_or_no_id(spark):
+    a, b = _text(300), _text(300)
+    twice = f"{a} {a}"
+    rows = spark.createDataFrame([(7, a), (7, a), (8, b), (8, f"{b} x"), (None, twice), (9, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring.dedup_substrings(rows).collect())
+    assert got == [(0, 300), (7, 300), (7, 300), (8, 0), (8, 0), (9, 300)]
+    same = spark.createDataFrame([(7, a), (7, a), (7, a)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.dedup_substrings(same).collect()] == [0, 0, 0]
+    keyed = spark.createDataFrame([(None, a, 3), (None, a, 1), (5, a, 0), (5, b, 9), (5, b, 4)], "doc_id long, text string, key long")
+    assert {r["row"]: r["n_removed"] for r in substring.dedup_substrings(keyed, row_col="key").collect()} == {1: 0, 3: 300, 0: 300, 4: 0, 9: 300}
+    none = spark.createDataFrame([(None, a)] * 3, "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in substring.dedup_substrings(none).collect()) == [0, 300, 300]
+
+
 def test_bpe_and_packing_equal_the_library(spark, docs, none):
     odd = ["Don't 'tis x''s I'LL ,'s", "<|endoftext|>foo <|EndOfText|> a<|b", "ñ ≠ áb.c", "1234,5.6-7 9é", "İI Σ", "\x00a b", None]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
