@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
 
 Quality classifier, n-gram Jaccard join, substring dedup, personal data, packing.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Each gives its rows a key
+first, so that every row gets its own decision, whether its doc_id is null or
+repeated.
 """
 
 from __future__ import annotations
@@ -12,30 +14,41 @@ from pyspark.sql import functions as F
 from palaver.llm import blocks, ngram_join, packing, pii, quality, substring
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row (_row); written to the shared folder, so that the key stays what it is."""
+    return blocks.stage_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(scores, docs["doc_id"] == scores["_kept"], "left_semi")
+    rows = keyed(docs)
+    good = quality.score_quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="_row").where("predicted = 1")
+    return rows.join(good, rows["_row"] == good["row"], "left_semi").select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id."""
-    first = ngram_join.similar_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_kept"], "left_semi")
+    """Of each class of similar documents the one with the smallest id (a null comes last; of equal ids the first row)."""
+    rows = keyed(docs)
+    classes = ngram_join.similar_classes(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_kept"))
+    return rows.join(first, rows["_row"] == first["_kept"], "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words of passages that stand earlier; texts without any such word stay as they are, emptied ones go."""
-    cut = substring.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut"), "kept")
-    joined = docs.join(cut, docs["doc_id"] == cut["_cut"], "left").where("kept is null or kept <> ''")
+    """Texts without words of passages that stand earlier, by id, then row; texts without any such word stay as they are, emptied ones go."""
+    rows = keyed(docs)
+    cut = substring.dedup_substrings(rows, row_col="_row").where("n_removed > 0").select("row", "kept")
+    joined = rows.join(cut, rows["_row"] == cut["row"], "left").where("kept is null or kept <> ''")
     text = F.coalesce("kept", "text")
     return joined.withColumns({"text": text, "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long")}).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in angle brackets."""
-    found = pii.find_personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("_found"), "found")
-    joined = docs.join(found, docs["doc_id"] == found["_found"], "left")
+    rows = keyed(docs)
+    found = pii.find_personal_data(rows, id_col="_row").where("spans <> ''").select(F.col("doc_id").alias("_found"), "found")
+    joined = rows.join(found, rows["_row"] == found["_found"], "left")
     kinds = F.array(*(F.lit(f"<{k}>") for k in pii.KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

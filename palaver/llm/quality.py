@@ -93,12 +93,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int,
     return a * w[:-1] * ratio, a * w[-1] + b
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, rest: int = 1, threshold: float = 0.5, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, rest: int = 1, threshold: float = 0.5, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, held_out, score (the probability of label 1) and predicted for every row.
 
     Rows with crc32(id as text) mod modulus = rest are held out of the fit. Null
     texts count as empty, and an empty text gets the model's bias as score.
     Scores depend on the text alone, so repeated texts tie. Extra columns are not read.
+    row_col: a key of rows (long); the result then has it as row, with score and predicted.
     """
     own = B.documents(docs, id_col, text_col)
     w, bias = fit(own, labels, label, modulus, rest, bound)
@@ -111,5 +112,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
         odds = (run[at[1:]] - run[at[:-1]]) / np.sqrt(np.maximum(n, 1)) + bias
         return {"doc_id": ids, "score": pa.array(1 / (1 + np.exp(-np.clip(odds, -40, 40))))}
 
+    if row_col:
+        rows = B.map_documents(B.documents(docs, row_col, text_col), score, "doc_id long, score double")
+        return rows.select(F.col("doc_id").alias("row"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
     scored = B.map_documents(own, score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

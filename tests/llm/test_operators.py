@@ -260,3 +260,23 @@ def test_pipeline_runs_and_keeps_columns(spark):
         docs = blocks.stage_table(stage(spark, docs, d))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 100, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).agg({"length": "max"}).first()[0] <= 2048
+
+
+def test_pipeline_decides_for_each_row(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    both = docs.union(docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
+    kept = p.keep_quality(spark, both, d).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == sorted(r["text"] for r in kept if r["doc_id"] is not None)
+    a, b, c = _text(80), _text(80), _text(80)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda *rows: spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], schema)
+    ids = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rows = table((1, a), (1, a), (2, b), (2, c), (None, b), (None, LONG))
+    assert ids(p.keep_one_of_each_class(spark, rows, d)) == sorted([(1, a), (2, b), (2, c), (0, LONG)])
+    assert ids(p.drop_repeated_passages(spark, table((1, a), (1, a), (2, b), (2, c)), d)) == sorted([(1, a), (2, b), (2, c)])
+    assert ids(p.drop_repeated_passages(spark, table((None, a), (None, a), (None, c)), d)) == sorted([(0, a), (0, c)])
+    masked = p.mask_personal_data(spark, table((2, "mail a@b.com now"), (2, "no mail here"), (None, "or c@d.org too")), d)
+    assert ids(masked) == [(0, "or <email> too"), (2, "mail <email> now"), (2, "no mail here")] and masked.columns == docs.columns
