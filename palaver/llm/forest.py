@@ -87,14 +87,17 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
     ids, which loses nothing: no more of them can be among k. Extra columns are not read.
     """
     rows = clean_vectors(table, id_col, vector_col).withColumn("d", F.size("v"))
-    stats = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy("d").limit(64).collect()
-    total, norms = sum(r["n"] for r in stats), {r["d"]: math.sqrt(r["m"]) for r in stats}
+    total = rows.count()
+    norms = rows.groupBy("d").agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("most")).withColumnRenamed("d", "length")
     blocks = max(1, math.ceil(total / BLOCK))
     dealt = lambda df, key, n: df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    held = dealt(rows, "v", blocks * 4)
+    held = dealt(rows.distinct(), "v", blocks * 4).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     # the same vector is in one part, whose copies are cut to k + 1 ids before they meet
-    slim = held.groupBy("part", "d", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("part", "d", "v", F.slice("ids", 1, k + 1).alias("ids"))
-    slim = slim.groupBy("part", "d", "v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).withColumn("block", (F.col("part") / 4).cast("int"))
+    least = Window.partitionBy("part", "d", "v", "salt").orderBy("vec_id")
+    slim = held.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1)
+    slim = slim.groupBy("part", "d", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids")).withColumn("block", (F.col("part") / 4).cast("int")).join(F.broadcast(norms), F.col("d") == F.col("length"))
+    # new column ids: both sides of the cogroup come from rows
+    slim = slim.select(*(F.col(c).alias(c) for c in ("block", "d", "v", "ids", "most")))
     asked = dealt(rows.where(F.pmod("vec_id", F.lit(every)) == 0), "vec_id", max(1, math.ceil(total / every / PACK)))
     packs = asked.groupBy("part", "d").agg(F.collect_list(F.struct("vec_id", "v")).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -105,7 +108,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
             own = vectors.filter(pa.array(dims == d))
             x = np.array(own.column("v").to_pylist(), float).reshape(-1, d)
             ids = own.column("ids").to_pylist()
-            forest = Forest(x, norms[d])
+            forest = Forest(x, own.column("most")[0].as_py())
             want = max(4 * k, math.ceil(share * len(x)))
             for pack in queries.filter(pa.compute.equal(queries.column("d"), d)).column("q"):
                 q = pack.as_py()

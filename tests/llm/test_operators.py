@@ -245,6 +245,14 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert forest.nearest_neighbours(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).count() == 1
 
 
+def test_neighbours_of_many_lengths_and_equal_vectors(spark):
+    rows = [(20 * d + j, [1.0 + j] * d) for d in range(1, 81) for j in (0, 1)] + [(5000 + i, [9.0] * 80) for i in range(300)] * 2
+    got = forest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    near = {(r["query_id"], r["rank"]): r["vec_id"] for r in got}
+    assert all(near[20 * d, 1] == 20 * d + 1 for d in range(1, 80))
+    assert [near[1600, k] for k in range(1, 21)] == list(range(5000, 5020))
+
+
 def test_blocks_keep_a_key_and_its_counts(docs):
     b = blocks.Blocks(blocks.documents(docs), block_bytes=4096)
     rows = b.map(lambda ids, buf, offsets: {"doc_id": ids}, "doc_id long").collect()
