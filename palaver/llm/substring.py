@@ -40,6 +40,29 @@ def _order_keys(ids: pa.Array, ptr: np.ndarray, block: int) -> tuple[np.ndarray,
     return doc, np.where(own.is_null().to_numpy(zero_copy_only=False), place, 0)
 
 
+def _grouped(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows are neighbours (else that of the input), and where a new one begins."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], g[order]
+    new = np.ones(len(h), bool)
+    new[1:] = a[1:] != a[:-1]
+    if (~new[1:] & (b[1:] != b[:-1])).any():  # two windows share one hash of 64 bits: the other tells them apart
+        order = np.lexsort((g, h))
+        a, b = h[order], g[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def _after_first(doc: np.ndarray, tie: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each entry, whether its (doc, tie) is more than its group's least; groups begin where new is true."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    low = np.minimum.reduceat(doc, first)[group]
+    least = np.minimum.reduceat(np.where(doc == low, tie, np.iinfo(np.int64).max), first)[group]
+    return (doc > low) | (tie > least)
+
+
 def _repeats(ids, buf, offsets, k, bits, counts, block):
     """Windows that may repeat, sorted by their two hashes: words, where each begins, where each distinct one's first stands
     in the arrays, the number of each one's group, which come later than an equal one of the block, hashes, ids and ties."""
@@ -47,15 +70,18 @@ def _repeats(ids, buf, offsets, k, bits, counts, block):
     often = np.flatnonzero(B.counts_for(h, counts, bits) >= 2)
     h, at = h[often], starts[often]
     g = windows(words.hashes(kind=12), k, kind=12)[at] if len(at) else h
+    doc, tie = _order_keys(ids, words.ptr, block)
+    place = np.empty(len(doc), np.int64)
+    place[np.lexsort((tie, doc))] = np.arange(len(doc))
     row = np.searchsorted(words.ptr, at, side="right") - 1
-    doc, tie = (v[row] if len(row) else np.zeros(0, np.int64) for v in _order_keys(ids, words.ptr, block))
-    order = np.lexsort((at, tie, doc, g, h))
-    h, g, at, row, doc, tie = (v[order] for v in (h, g, at, row, doc, tie))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    if len(doc) > 1 and (np.diff(place) < 0).any():  # rows by (doc, tie), so that a stable sort puts the first before the rest
+        order = np.argsort(place[row], kind="stable") if len(row) else row
+        h, g, at, row = h[order], g[order], at[order], row[order]
+    order, new = _grouped(h, g)
+    h, g, at, row = h[order], g[order], at[order], row[order]
+    doc, tie = (v[row] if len(row) else np.zeros(0, np.int64) for v in (doc, tie))
     first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    least = first[group] if len(h) else group
-    later = (doc > doc[least]) | ((doc == doc[least]) & (tie > tie[least]))
+    later = _after_first(doc, tie, new)
     later[1:] |= ~new[1:] & (row[1:] == row[:-1])
     return words, at, first, group, later, h, g, doc, tie
 
@@ -85,13 +111,9 @@ def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
         sizes = [len(x) for x in parts["h"]]
         h, g = (np.concatenate(parts[c]) for c in ("h", "g"))
         doc, tie = (np.concatenate(parts[c]).view(np.int64) for c in ("doc", "tie"))
-        order = np.lexsort((tie, doc, g, h))
-        h, g, doc, tie = h[order], g[order], doc[order], tie[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        least = np.flatnonzero(new)[np.cumsum(new) - 1]
+        order, new = _grouped(h, g)
         later = np.zeros(len(h), np.uint8)
-        later[order] = (doc > doc[least]) | ((doc == doc[least]) & (tie > tie[least]))
+        later[order] = _after_first(doc[order], tie[order], new)
         answers = [B.zip_planes(np.packbits(x)) for x in np.split(later, np.cumsum(sizes)[:-1])]
         return pa.table({"block": table.column("block"), "frag": table.column("frag"), "counts": pa.array(answers, pa.binary()), "size": pa.array(sizes, pa.int64())})
 

@@ -91,11 +91,20 @@ def windows(words: np.ndarray, k: int, kind: int = 11) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    q, acc = U64(_BASE[23 - kind]), words[:n].copy()
-    for j in range(1, k):
-        acc *= q
-        acc += words[j : j + n]
-    return mix(acc)
+    if k < 8:
+        q, acc = U64(_BASE[23 - kind]), words[:n].copy()
+        for j in range(1, k):
+            acc *= q
+            acc += words[j : j + n]
+        return mix(acc)
+    out = np.empty(n, U64)
+    for a in range(0, n, _SEGMENT):  # differences of running sums: the same numbers, whatever k
+        b = min(n, a + _SEGMENT)
+        up, down = _powers(23 - kind, b - a + k)
+        run = np.zeros(b - a + k, U64)
+        np.cumsum(words[a : b + k - 1] * down[: b - a + k - 1], out=run[1:])
+        out[a:b] = (run[k:] - run[:-k]) * up[k - 1 : b - a + k - 1]
+    return mix(out)
 
 
 def window_starts(ptr: np.ndarray, k: int) -> np.ndarray:
