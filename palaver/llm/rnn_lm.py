@@ -10,8 +10,8 @@ score, the vocabulary, the output biases, and the share of "unknown" that a word
 outside the vocabulary gets. The recurrent weights are fitted in rounds, each on
 another part of the documents, together all of them once: every partition trains
 on from the weights of the round before, and the new weights are averaged in Spark
-by the tokens that each partition read. The vocabulary grows with the square
-root of the text.
+by the tokens that each partition read. The vocabulary grows with the cube root
+of the text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .labelled import held_out
 from .textcore import U64, Words
 
 #: Least classes and words in a class, units, documents of the first round (which takes a sixteenth at least).
-CLASSES, WIDTH, UNITS, SAMPLE_DOCS = 32, 32, 24, 1200
+CLASSES, WIDTH, UNITS, SAMPLE_DOCS = 32, 32, 16, 1200
 UNKNOWN, END = 0, 1
 #: Rates of the rounds, and weights in a row of the averages.
 RATES, CHUNK = (0.01, 0.01, 0.006, 0.003), 1 << 16
@@ -45,8 +45,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def classes_of(text_bytes: int) -> int:
-    """Classes, and words in each, for so much text: half the square root of its words make the vocabulary."""
-    return max(CLASSES, math.ceil(math.sqrt(math.sqrt(text_bytes / 6) / 2)))
+    """Classes, and words in each, for so much text: three times the cube root of its words make the vocabulary."""
+    return max(CLASSES, math.ceil(math.sqrt(3 * (text_bytes / 6) ** (1 / 3))))
 
 
 class Model:
@@ -116,7 +116,7 @@ class Model:
                 back[at] += d @ self.p["w"][k].T
         return said, back
 
-    def fit(self, docs: list[np.ndarray], lanes: int = 192, window: int = 24, rate: float = 0.01) -> None:
+    def fit(self, docs: list[np.ndarray], lanes: int = 768, window: int = 20, rate: float = 0.01) -> None:
         """Truncated backpropagation: gradients run back through a window, the state runs on through the document."""
         stream = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         if not len(stream):
