@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .blocks import stage_table
@@ -26,8 +26,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).where("a <> b")
-        links = stage_table(small.select("a", "b").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        told = Observation()
+        links = stage_table(small.select("a", "b").distinct().observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        now = (told.get["n"], told.get["s"])
         if now == seen:
             break
         seen = now
