@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = "[A-Za-z][A-Za-z'’]*[A-Za-z]|[A-Za-z]"
-# What chat exports write in place of a file.
-MEDIA = ("<media omitted>", "image omitted", "video omitted", "audio omitted", "sticker omitted", "gif omitted", "document omitted", "contact card omitted", "media omitted")
+# What chat exports write in place of a file or of a deleted message.
+MEDIA = ("<media omitted>", "image omitted", "video omitted", "audio omitted", "sticker omitted", "gif omitted", "document omitted", "this message was deleted", "you deleted this message", "<attached:")
+# A part of each of them, which must stand in a text in pure lower or pure upper case.
+MEDIA_HINTS = ("mitted", "elete", "ttach")
+# Stretched and laughing parts of words.
+STRETCHED = ("ooo", "aaa", "eee", "yyy", "mmm", "zz", "haha", "hehe", "lol")
 _MODIFIED = "[\U0001f300-\U0001faff☀-➿][\U0001f3fb-\U0001f3ff️]*"
 EMOJI = f"[\U0001f1e6-\U0001f1ff]{{2}}|{_MODIFIED}(?:‍{_MODIFIED})*"
 
@@ -19,12 +23,12 @@ def words_of(text: Column) -> Column:
 
 def is_media(text: Column) -> Column:
     """A placeholder in pure lower case, pure upper case or as exported; mixed spellings of its hint don't count."""
-    hint = F.contains(text, F.lit("omitted")) | F.contains(text, F.lit("OMITTED"))
-    return hint & F.lower(text).rlike("|".join(MEDIA))
+    return text.rlike("|".join(h for x in MEDIA_HINTS for h in (x, x.upper()))) & F.lower(text).rlike("|".join(MEDIA))
 
 
 def emoji_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMOJI), F.lit(0))
+    # possessive: the matcher would recurse into the group of a long chain
+    return F.regexp_extract_all(text, F.lit(f"{EMOJI}+"), F.lit(0))
 
 
 def sanitise(text: Column) -> Column:
@@ -42,15 +46,16 @@ def shouted(text: Column) -> Column:
 
 def noise(word: Column) -> Column:
     """Too short, one letter repeated, stretched or laughing, or not letters."""
-    return (F.length(word) < 3) | word.rlike(r"^(.)\1{2,}$|(.)\2{2,}|haha|hehe|lol|zz") | ~word.rlike("^[a-z']+$")
+    return (F.length(word) < 3) | word.rlike(r"^(.)\1{2,}$|" + "|".join(STRETCHED)) | ~word.rlike("^[a-z']+$")
 
 
 def ratio(num: Column | str, den: Column | str, digits: int) -> Column:
-    """num / den, rounded half up from integers; 0 where den is 0."""
-    num, den = (F.col(x) if isinstance(x, str) else x for x in (num, den))
-    scaled = 2 * num.cast("decimal(30,0)") * 10**digits + den.cast("decimal(30,0)")
-    whole = F.floor(scaled / F.nullif(2 * den.cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)")))
-    return F.coalesce(whole.cast("double") / 10**digits, F.lit(0.0))
+    """num / den, rounded half to even from integers; 0 where den is 0."""
+    num, den = ((F.col(x) if isinstance(x, str) else x).cast("decimal(30,0)") for x in (num, den))
+    scaled, both = 2 * num * 10**digits + den, F.nullif(2 * den, F.lit(0).cast("decimal(30,0)"))
+    up = F.floor(scaled / both)
+    even = up - F.when((scaled % both == 0) & (up % 2 == 1), 1).otherwise(0)
+    return F.coalesce(even.cast("double") / 10**digits, F.lit(0.0))
 
 
 def whole_word(text: Column, word: str) -> Column:

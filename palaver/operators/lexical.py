@@ -112,11 +112,11 @@ _TONE = lambda: [F.count_if(F.col("polarity") > 0).alias("positive"), F.count_if
 
 
 def tone(m: DataFrame, *by: str, positive=tuple(POSITIVE), negative=tuple(NEGATIVE)) -> DataFrame:
-    """Positive and negative words in all, or by columns; net = (p - n) / (p + n) as doubled integers' quotient."""
+    """Positive and negative words in all, or by columns; net = (p - n) / (p + n), to three digits, half to even."""
     rows = _tone_rows(m, positive, negative).withColumn("month", F.month("ts").cast("long")).withColumn("year", F.year("ts").cast("long"))
     g = rows.groupBy(*by).agg(*_TONE()) if by else rows.agg(*_TONE())
     net = (F.col("positive") - F.col("negative")).cast("double") / F.nullif(F.col("positive") + F.col("negative"), F.lit(0).cast("long"))
-    return g.withColumn("net", F.coalesce(net, F.lit(0.0)))
+    return g.withColumn("net", F.bround(F.coalesce(net, F.lit(0.0)), 3))
 
 
 def tone_words(m: DataFrame, limit: int = 15, positive=tuple(POSITIVE), negative=tuple(NEGATIVE)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EMOJI, MEDIA, WORD
+from ..functions.text import EMOJI, MEDIA, MEDIA_HINTS, STRETCHED, WORD
 from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
 from ..operators import claims, conversations, extract, lexical, search, volume
 from ..sources import decode
@@ -29,14 +29,15 @@ def _q(s: str) -> str:
 
 def _ratio(num: str, den: str, digits: int) -> str:
     """As functions.text.ratio."""
-    return f"coalesce(CAST((2 * CAST({num} AS HUGEINT) * {10**digits} + ({den})) // nullif(2 * CAST({den} AS HUGEINT), 0) AS DOUBLE) / {10**digits}, 0.0)"
+    scaled, both = f"(2 * CAST({num} AS HUGEINT) * {10**digits} + ({den}))", f"nullif(2 * CAST({den} AS HUGEINT), 0)"
+    return f"coalesce(CAST({scaled} // {both} - CASE WHEN {scaled} % {both} = 0 AND ({scaled} // {both}) % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) / {10**digits}, 0.0)"
 
 
 def _list(words) -> str:
     return ", ".join(map(_q, words))
 
 
-_MEDIA = f"((contains(text, 'omitted') OR contains(text, 'OMITTED')) AND regexp_matches(lower(text), {_q('|'.join(MEDIA))}))"
+_MEDIA = f"(regexp_matches(text, '{'|'.join(h for x in MEDIA_HINTS for h in (x, x.upper()))}') AND regexp_matches(lower(text), {_q('|'.join(MEDIA))}))"
 _WORDS = f"list_transform(regexp_extract_all(text, {_q(WORD)}), lambda x: replace(x, '’', ''''))"
 _S, _R = "count_if(direction = 'sent')", "count_if(direction = 'received')"
 
@@ -100,7 +101,7 @@ _add("word_frequency_conversations", lambda m: lexical.word_frequency(m, limit=N
 _SENT = r"unnest(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))"
 _add("sentence_token_counts", lexical.sentence_tokens, f"SELECT msg_id, s.i - 1 AS sentence_no, len({_WORDS.replace('(text,', '(s.x,')}) AS words FROM (SELECT msg_id, unnest(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM msgs) WHERE len({_WORDS.replace('(text,', '(s.x,')}) > 0")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_NOISE = f"(length(lw) < 3 OR regexp_matches(lw, '{'|'.join(c * 3 for c in _LETTERS)}|haha|hehe|lol|zz|''''''') OR NOT regexp_matches(lw, '^[a-z'']+$'))"
+_NOISE = f"(length(lw) < 3 OR regexp_matches(lw, '^({'|'.join(c * 3 + '+' for c in _LETTERS)}|''''''+)$|{'|'.join(STRETCHED)}') OR NOT regexp_matches(lw, '^[a-z'']+$'))"
 _add("noise_words", lexical.noise_words, f"SELECT lw, count(*) AS count FROM tok WHERE {_NOISE} GROUP BY 1", more=_TOK)
 _SPELL = f"""s0 AS (SELECT msg_id, contact, sender, ts, text, upper(text) = text AND lower(text) <> text AS loud, unnest(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), 'www\\.\\S+', ' ', 'g'), '[@#]\\w+', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM msgs WHERE direction = 'sent' AND NOT {_MEDIA}),
 s1 AS (SELECT msg_id, contact, sender, ts, text, loud, s.i AS s_no, unnest(list_transform({_WORDS.replace('(text,', '(s.x,')}, lambda x, i: {{'w': x, 'i': i}})) AS t FROM s0), s2 AS (SELECT *, t.w AS word, lower(t.w) AS lw, t.i AS pos FROM s1),
@@ -115,7 +116,7 @@ _add("emoji_totals", lexical.emoji_totals, f"SELECT t AS total, u AS unique_emoj
 _add("emoji_top", lexical.emoji_top, f"SELECT emoji, count(*) AS count, {_S} AS sent, {_R} AS received FROM emo GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30", more=_EMO)
 _add("emoji_by_contact", lexical.emoji_by_contact, "SELECT contact, CAST(sum(n) AS BIGINT) AS count, string_agg(emoji, ' ' ORDER BY r) FILTER (r <= 5) AS top_emoji FROM (SELECT contact, emoji, count(*) AS n, row_number() OVER (PARTITION BY contact ORDER BY count(*) DESC, emoji) AS r FROM emo GROUP BY contact, emoji) GROUP BY 1", more=_EMO)
 _TONED = f"{_TOK}, toned AS (SELECT *, year(ts) AS year, month(ts) AS month, CASE WHEN lw IN ({_list(POSITIVE)}) THEN 1 ELSE -1 END AS polarity FROM tok WHERE lw IN ({_list([*POSITIVE, *NEGATIVE])}))"
-_NET = "count_if(polarity > 0) AS positive, count_if(polarity < 0) AS negative, coalesce(CAST(count_if(polarity > 0) - count_if(polarity < 0) AS DOUBLE) / nullif(count(*), 0), 0.0) AS net"
+_NET = "count_if(polarity > 0) AS positive, count_if(polarity < 0) AS negative, round_even(coalesce(CAST(count_if(polarity > 0) - count_if(polarity < 0) AS DOUBLE) / nullif(count(*), 0), 0.0), 3) AS net"
 _add("tone_totals", lexical.tone, f"SELECT {_NET} FROM toned", more=_TONED)
 _add("tone_by_month", lambda m: lexical.tone(m, "year", "month"), f"SELECT year, month, {_NET} FROM toned GROUP BY year, month", more=_TONED)
 _add("tone_by_contact", lambda m: lexical.tone(m, "contact"), f"SELECT contact, {_NET} FROM toned GROUP BY contact", more=_TONED)
