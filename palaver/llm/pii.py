@@ -28,6 +28,8 @@ from . import blocks as B
 #: The base kinds, and one that only contexts find.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE, SECRET = 4, 4
+#: Kinds of candidates: open, and refuted by a test that its form must pass.
+OPEN, REFUTED = -1, -2
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
@@ -110,7 +112,7 @@ def _patterns(near: Column, b: Column, e: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Per row: base spans, and seeds and candidates as (b, e, kind or -1, refuted, value, patterns)."""
+    """Per row: base spans, and seeds and candidates as (b, e, kind, value, patterns)."""
     t = F.col("text")
     d = docs.withColumn("base", F.when(t.rlike("[0-9@]"), _base(t)).otherwise(F.expr("cast(array() as array<struct<b int, k int, e int>>)")))
     tokens = F.when(t.rlike("[0-9@]"), _spans(t, TOKEN)).otherwise(F.expr("cast(array() as array<struct<b int, e int, m string>>)"))
@@ -120,26 +122,26 @@ def mentions(docs: DataFrame) -> DataFrame:
     tokens = F.transform(F.filter(tokens, like), lambda x: F.struct((x["b"] + F.length(trim(x))).alias("b"), (x["b"] + F.length(trim(x)) + F.length(core(x))).alias("e"), core(x).alias("m")))
     free = lambda x: ~F.exists("base", lambda y: (y["b"] < x["e"]) & (x["b"] < y["e"]))
     d = d.withColumn("cand", F.filter(F.filter(tokens, like), free))
-    part = lambda b, e, k, no, v: F.struct(b.alias("b"), e.alias("e"), k.alias("kind"), no.alias("refuted"), v.alias("value"), _bound(F.substr(t, F.greatest(b - 60, F.lit(0)) + 1, F.least(b, F.lit(60)) + e - b + 60), lambda near: _patterns(near, b, e)).alias("ctx"))
-    seeds = F.transform("base", lambda x: part(x["b"], x["e"], x["k"], F.lit(False), F.lower(F.substr(t, x["b"] + 1, x["e"] - x["b"]))))
-    secret = lambda x: F.when(x["m"].rlike("^[0-9A-Fa-f]{32,}$") & x["m"].rlike("[A-Fa-f]"), SECRET).otherwise(-1)
-    found = F.transform("cand", lambda x: part(x["b"], x["e"], secret(x), x["m"].rlike("^[0-9-]{12,}$"), F.lower(x["m"])))
+    part = lambda b, e, k, v: F.struct(b.alias("b"), e.alias("e"), k.alias("kind"), v.alias("value"), _bound(F.substr(t, F.greatest(b - 60, F.lit(0)) + 1, F.least(b, F.lit(60)) + e - b + 60), lambda near: _patterns(near, b, e)).alias("ctx"))
+    seeds = F.transform("base", lambda x: part(x["b"], x["e"], x["k"], F.lower(F.substr(t, x["b"] + 1, x["e"] - x["b"]))))
+    kind = lambda x: F.when(x["m"].rlike("^[0-9A-Fa-f]{32,}$") & x["m"].rlike("[A-Fa-f]"), SECRET).when(x["m"].rlike("^[0-9-]{12,}$"), REFUTED).otherwise(OPEN)
+    found = F.transform("cand", lambda x: part(x["b"], x["e"], kind(x), F.lower(x["m"])))
     return d.select("doc_id", "base", F.concat(seeds, found).alias("seen"))
 
 
 def believed(rows: DataFrame, support: int = SUPPORT, belief: float = BELIEF, rounds: int = ROUNDS) -> DataFrame:
     """(row, b, e, kind) of candidates in contexts that the scored graph trusts; of several contexts the most trusted tells the kind."""
-    edges = rows.select("row", F.explode("seen").alias("x")).select("row", "x.b", "x.e", "x.kind", "x.refuted", "x.value", F.explode("x.ctx").alias("ctx"))
+    edges = rows.select("row", F.explode("seen").alias("x")).select("row", "x.b", "x.e", "x.kind", "x.value", F.explode("x.ctx").alias("ctx"))
     graph = B.stage_table(edges.groupBy("ctx", "value").agg(F.max("kind").alias("kind")))
     worth = graph.select("value", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0).alias("score"), (F.col("kind") >= 0).alias("seed")).groupBy("value").agg(F.max("score").alias("score"), F.max("seed").alias("seed"))
     for i in range(rounds):
         lit = graph.join(worth, "value")
         patterns = lit.groupBy("ctx").agg((F.sum("score") / (F.count("*") + 0.5)).alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         if i + 1 < rounds:
-            worth = B.stage_table(graph.join(patterns, "ctx").join(worth.select("value", "seed"), "value").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(F.avg(F.when(F.col("seeds") >= support, F.col("trust")).otherwise(0.0))).alias("score"), F.max("seed").alias("seed")))
+            worth = B.stage_table(graph.join(patterns, "ctx").join(worth.select("value", "seed"), "value").groupBy("value").agg(F.when(F.max("seed"), 1.0).when(F.max("kind") == REFUTED, 0.0).otherwise(F.avg(F.when(F.col("seeds") >= support, F.col("trust")).otherwise(0.0))).alias("score"), F.max("seed").alias("seed")))
     kinds = graph.where("kind >= 0").groupBy("ctx", "kind").count().groupBy("ctx").agg(F.min(F.struct(-F.col("count"), "kind")).alias("m")).select("ctx", F.col("m.kind").alias("of"))
     trusted = patterns.where((F.col("seeds") >= support) & (F.col("trust") >= belief)).join(kinds, "ctx").select("ctx", "of", "trust", "seeds")
-    marked = edges.where(f"(kind < 0 or kind = {SECRET}) and not refuted").join(trusted, "ctx")
+    marked = edges.where(F.col("kind").isin(OPEN, SECRET)).join(trusted, "ctx")
     best = F.max(F.struct("trust", "seeds", -F.col("of")))
     return marked.groupBy("row", "b", "e").agg(F.when(F.max("kind") == SECRET, SECRET).otherwise(-best.getField("col3")).cast("int").alias("k"))
 
