@@ -24,12 +24,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 RULES = ("length", "word_size", "symbols", "dup_lines", "repeats", "capitals", "shouts", "bars")
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
+def text_counts(docs: DataFrame, spare: int = 0) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' other counts to rows with a text.
 
     Repeated 3-word windows are found by sorting (hash of window, position) as one
-    number each; equal neighbours are then compared word by word, so a hash that
-    two windows share by chance doesn't count.
+    number each; equal neighbours are then compared word by word. In a text in which
+    two different windows share what is kept of their hashes, windows are sorted by
+    their words instead. spare: so many bits of hashes less are kept (for tests).
     """
     d = docs.withColumn("w", F.filter(F.split("text", SPACES), lambda x: x != ""))
     d = d.withColumn("n_words", F.size("w").cast("long"))
@@ -39,12 +40,16 @@ def text_counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n_bar", (F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))).cast("long"))
     d = d.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     d = d.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    d = d.withColumn("s", F.length(F.bin(F.size("w"))))
+    d = d.withColumn("s", F.length(F.bin(F.size("w"))) + F.lit(spare))
     d = d.withColumn("k", F.expr("sort_array(transform(slice(w, 1, greatest(n_words - 2, 0)), (x, i) -> shiftleft(shiftright(xxhash64(x, get(w, i + 1), get(w, i + 2)), s), s) + i))"))
     d = d.withColumn("k", F.expr("filter(k, (x, i) -> shiftright(x, s) = shiftright(get(k, i - 1), s) or shiftright(x, s) = shiftright(get(k, i + 1), s))"))
     d = d.withColumn("p", F.expr("transform(k, x -> cast(x - shiftleft(shiftright(x, s), s) as int))"))
     same = "coalesce(shiftright(x, s) = shiftright(get(k, i + {0}), s) and get(w, get(p, i)) = get(w, get(p, i + {0})) and get(w, get(p, i) + 1) = get(w, get(p, i + {0}) + 1) and get(w, get(p, i) + 2) = get(w, get(p, i + {0}) + 2), false)"
     d = d.withColumn("r", F.expr(f"transform(filter(transform(k, (x, i) -> if({same.format(-1)} or {same.format(1)}, get(p, i), -1)), x -> x >= 0), x -> x)"))
+    clash = f"exists(transform(k, (x, i) -> coalesce(shiftright(x, s) = shiftright(get(k, i - 1), s), false) and not {same.format(-1)}), v -> v)"
+    by_words = "sort_array(transform(slice(w, 1, greatest(n_words - 2, 0)), (x, i) -> struct(x as a, get(w, i + 1) as b, get(w, i + 2) as c, i as i)))"
+    equal = "coalesce(x.a = get(q, i + {0}).a and x.b = get(q, i + {0}).b and x.c = get(q, i + {0}).c, false)"
+    d = d.withColumn("r", F.expr(f"if({clash}, get(transform(array({by_words}), q -> transform(filter(q, (x, i) -> {equal.format(-1)} or {equal.format(1)}), x -> x.i)), 0), r)"))
     d = d.withColumn("n_repeat_words", F.expr("cast(size(array_distinct(flatten(transform(r, x -> array(x, x + 1, x + 2))))) as long)"))
     return d.drop("w", "k", "p", "r", "s", "text")
 
@@ -98,7 +103,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[f
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, base_failed, kept and posterior of every row.
 
-    Null and empty texts have no words and fail. Repeated rows count as often as
+    Null and empty texts have no words and fail. Very long texts are counted whole. Repeated rows count as often as
     they stand. An empty table gives no rows. Extra columns are not read.
     """
     counted = text_counts(B.documents(docs, id_col, text_col)).withColumn("votes", F.array(*votes()))
