@@ -28,9 +28,11 @@ PACKED = "block long, payload binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set, as in tests."""
+    """A new path in the folder that the cluster shares; a local one only where none is set and all runs in one process, as in tests."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         top = tempfile.gettempdir() + "/palaver-checkpoints"
