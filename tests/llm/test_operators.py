@@ -181,6 +181,12 @@ def test_pii_base_spans_and_bootstrapped_ones(spark, docs, none):
     more = by_id(pii.find_personal_data(spark.createDataFrame([*seeds, (99, "my number is 5550109999x thanks a lot"), (98, "see 5550109999y here")], "doc_id long, text string")))
     assert more[99]["base"] == "" and more[99]["spans"] == "phone:13:24" and more[98]["spans"] == ""
     assert pii.find_personal_data(none).count() == 0
+    long = ["x@" + "a." * 20_000 + "a", "a@b.c " * 700 + "1.2" * 900]
+    got = by_id(pii.find_personal_data(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")))
+    assert got[0]["base"] == f"email:0:{len(long[0])}" and (got[1]["n_email"], got[1]["n_ip"]) == (700, 225)
+    keys = [(i, f"{_text(8)} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" {_text(5)}") for i in range(12)] + [(29, "my token = zz99881122ab, so"), (30, f"see {'ab12' * 10} there"), (31, "the token = 123456789012 is none")]
+    got = by_id(pii.find_personal_data(spark.createDataFrame(keys, "doc_id long, text string")))
+    assert all(got[i]["spans"].startswith("secret:") and got[i]["base"] == "" for i in range(12)) and got[29]["spans"] == "secret:11:23" and got[30]["spans"] == got[31]["spans"] == ""
 
 
 def test_rules_count_and_judge(spark, none):
@@ -195,6 +201,12 @@ def test_rules_count_and_judge(spark, none):
         assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover))
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and (got[i]["kept"] is False or not got[i]["base_failed"])
     assert rules.judge_quality(none).count() == 0
+    rows = [(i, " ".join(np.random.default_rng(i).choice(list("abcdefghijkl"), 400))) for i in range(4)]
+    clashing = by_id(rules.text_counts(spark.createDataFrame(rows, "doc_id long, text string"), spare=50))
+    for i, t in rows:
+        w = t.split()
+        n = collections.Counter(zip(w, w[1:], w[2:]))
+        assert clashing[i]["n_repeat_words"] == len({k + j for k in range(398) if n[tuple(w[k : k + 3])] > 1 for j in range(3)})
 
 
 def test_language_model_base_scores_and_gradient(docs, none):
