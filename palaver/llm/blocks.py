@@ -39,10 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/palaver-{uuid.uuid4().hex}"
 
 
+#: Paths that stage_table() writes while a Staged scope is open.
+_open_scopes: list[list[str]] = []
+
+
+class Staged:
+    """Tables that are staged while the scope is open; drop() removes them, once what is built on them has been written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Staged:
+        _open_scopes.append(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open_scopes.remove(self.paths)
+
+    def drop(self, spark: SparkSession) -> None:
+        jvm = spark.sparkContext._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again, so that what follows doesn't run it anew."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    for paths in _open_scopes:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
