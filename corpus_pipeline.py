@@ -3,11 +3,15 @@
 Quality classifier, n-gram Jaccard join, substring dedup, personal data, packing.
 All but the last return the columns of documents. Each gives its rows a key
 first, so that every row gets its own decision, whether its doc_id is null or
-repeated.
+repeated. A stage's intermediate tables go when the next stage begins, as its
+result has been written by then: a stage's result must be written (or collected)
+before another stage is called.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +71,29 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+#: Intermediate tables of the last stage that ran.
+_last = blocks.Staged()
+
+
+def _stage(f):
+    @wraps(f)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _last
+        _last.drop(spark)
+        with blocks.Staged() as own:
+            out = f(spark, docs, sf_dir)
+        _last = own if f is not pack else blocks.Staged()  # the last result may be read later
+        return out
+
+    return run_one
+
+
 STAGES = [
-    ("quality classifier", keep_quality),
-    ("n-gram Jaccard join", keep_one_of_each_class),
-    ("substring dedup", drop_repeated_passages),
-    ("personal data", mask_personal_data),
-    ("packing", pack),
+    ("quality classifier", _stage(keep_quality)),
+    ("n-gram Jaccard join", _stage(keep_one_of_each_class)),
+    ("substring dedup", _stage(drop_repeated_passages)),
+    ("personal data", _stage(mask_personal_data)),
+    ("packing", _stage(pack)),
 ]
 
 ORACLE_SQL = None
