@@ -121,7 +121,7 @@ class Model:
         stream = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         if not len(stream):
             return
-        lanes = max(1, min(lanes, len(stream) // (4 * window)))
+        lanes = max(1, min(lanes, len(stream) // (12 * window)))
         steps = -(-len(stream) // lanes)
         real = (np.arange(steps * lanes) < len(stream)).reshape(lanes, steps).T
         target = np.append(stream, np.full(steps * lanes - len(stream), END)).reshape(lanes, steps).T
