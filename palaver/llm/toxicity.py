@@ -1,19 +1,24 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Method: a bounded sample of labelled examples is indexed by an inverted index
-in blocks; each block knows the largest weight that each term has in it, so the
-sum of query weight times block maximum bounds every cosine in the block. Blocks
-are read from the highest bound down until no bound can beat the k-th best
-found: the k nearest are exact. Their votes, weighted by cosine, become a
-calibrated score; the examples themselves are the evidence.
-
-Terms are words and word beginnings in lower case. The index keeps those TERMS
-terms whose presence tells most about the label in the sample; a text that has
-none of them is scored by the share of label 1 among such examples.
+over all their terms. Postings lie in blocks of examples; each (term, block) has
+its largest weight, so the sum of query weight times block maximum bounds every
+cosine in the block. The blocks of highest bound are read first, then those whose
+bound can still beat the k-th best: the k nearest are exact. Their votes, weighted
+by cosine, become a calibrated score; the examples themselves are the evidence.
+
+Terms are words and word beginnings in lower case; their document frequencies are
+those of the whole corpus. Vectors hold every term that an example has; the
+TELLING terms that say most about the label in the sample weigh BOOST times their
+TF-IDF, as by plain TF-IDF the topic of a text hides a few offensive words. Terms
+without an example meet no posting and only scale all cosines of a text alike;
+they are left out of its norm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +28,12 @@ from . import blocks as B
 from .labelled import held_out, sample
 from .textcore import U64, Words, hash_spans, mix
 
-#: Labelled examples of each class in the index, terms, neighbours, examples in a block.
-BOUND, TERMS, NEIGHBOURS, BLOCK = 3000, 384, 15, 64
+#: Labelled examples of each class in the index, terms of more weight and how much, neighbours.
+BOUND, TELLING, BOOST, NEIGHBOURS = 1500, 384, 16.0, 15
+#: Examples in a block, blocks read first.
+BLOCK, LEAD = 32, 8
+#: What the base rate weighs beside the squared cosines of the votes.
+PRIOR = 0.25
 _BEGIN = 5
 
 
@@ -51,73 +60,151 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return both[at].astype(np.int64), pair[at], np.diff(np.append(at, len(pair)))
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class Index:
-    """Unit TF-IDF vectors of the examples over the chosen terms, in blocks with their term maxima."""
-
-    def __init__(self, ids: np.ndarray, y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], terms: int, base: float):
-        n, flat = len(docs), np.concatenate([d[0] for d in docs]) if docs else np.zeros(0, U64)
-        label = np.repeat(y, [len(d[0]) for d in docs])
-        all_terms, back = np.unique(flat, return_inverse=True)
-        pos, neg = np.bincount(back[label == 1], minlength=len(all_terms)), np.bincount(back[label == 0], minlength=len(all_terms))
-        n1, n0 = max(1, int(y.sum())), max(1, int(n - y.sum()))
-        gain = np.abs(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) * np.sqrt(pos + neg)
-        gain[pos + neg < 3] = 0
-        far = np.abs(np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) > 1.5
-        top = np.sort(np.argsort(-gain, kind="stable")[:terms])
-        top = top[(gain[top] > 0) & far[top]]
-        self.terms, self.idf = all_terms[top], np.log((n + 1) / (pos[top] + neg[top] + 0.5))
-        dense = np.zeros((n, len(top)))
-        for i, (t, c) in enumerate(docs):
-            at, own = self._weights(t, c)
-            dense[i, at] = own
-        some = np.flatnonzero(dense.any(axis=1))
-        none = np.flatnonzero(~dense.any(axis=1))
-        shift = np.log(base / (1 - base)) - np.log(n1 / n0)  # the sample holds both classes, the corpus at its own rate
-        rate = (y[none].sum() + 0.02) / (len(none) + 1)
-        self.empty = float(1 / (1 + np.exp(-(np.log(rate / (1 - rate)) + shift))))
-        order = some[np.lexsort((ids[some], dense[some].argmax(axis=1)))] if len(some) else some
-        self.ids, self.y, self.rows, self.shift = ids[order], y[order], dense[order], shift
-        blocks = max(1, -(-len(order) // BLOCK))
-        self.most = np.stack([self.rows[b * BLOCK : (b + 1) * BLOCK].max(axis=0, initial=0) for b in range(blocks)], axis=1) if len(top) else np.zeros((0, blocks))
-
-    def _weights(self, terms, counts):
+    """Postings of the examples' unit vectors, by term and block, with the block maxima.
+
+    frequencies(terms): in how many documents of the corpus each of the sorted terms
+    stands, and how many documents there are. base: the share of label 1 among all
+    labelled rows.
+    """
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], frequencies: Callable, base: float, telling: int = TELLING, boost: float = BOOST):
+        n, sizes = len(docs), np.array([len(d[0]) for d in docs], np.int64)
+        flat = np.concatenate([d[0] for d in docs]) if n else np.zeros(0, U64)
+        count = np.concatenate([d[1] for d in docs]) if n else np.zeros(0)
+        owner = np.repeat(np.arange(n), sizes)
+        self.terms, term = np.unique(flat, return_inverse=True)
+        df, total = frequencies(self.terms)
+        self.weight = np.log((total + 1) / (np.minimum(df, total) + 0.5)) * np.where(self._telling(term, y[owner], y, telling), boost, 1.0)
+        w = (1 + np.log(count)) * self.weight[term]
+        w /= np.sqrt(np.maximum(np.bincount(owner, w * w, minlength=n), 1e-300))[owner]
+        # examples with the same strongest term lie together, so that the maxima of blocks are close bounds
+        strong = np.zeros(n, np.int64)
+        at = np.lexsort((w, owner))
+        last = np.append(owner[at][1:] != owner[at][:-1], True)[: len(at)]
+        strong[owner[at][last]] = term[at][last]
+        order = np.lexsort((ids, strong))
+        self.ids, self.y = ids[order], y[order]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        row = place[owner]
+        at = np.lexsort((row, term))
+        self.row, self.w, term = row[at], w[at], term[at]
+        self.blocks = max(1, -(-n // BLOCK))
+        key = term * self.blocks + self.row // BLOCK
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        self.start, self.size = start, np.diff(np.append(start, len(key)))
+        self.block, self.most = key[start] % self.blocks, np.maximum.reduceat(self.w, start) if len(start) else self.w
+        self.first = np.searchsorted(key[start] // self.blocks, np.arange(len(self.terms) + 1))
+        self.empty, self.line = float(base), (0.0, 1.0)
+        self._calibrate(NEIGHBOURS)
+
+    def _calibrate(self, k: int) -> None:
+        """Log odds of label 1 as a line of the vote's log odds, from votes on each example by all the others.
+
+        Both classes weigh as in the corpus; the slope stays near 1 where examples are few.
+        """
+        n = len(self.ids)
+        n1 = int(self.y.sum())
+        if n1 in (0, n):
+            return
+        by_row = np.argsort(self.row, kind="stable")
+        edge = np.searchsorted(self.row[by_row], np.arange(n + 1))
+        term = np.repeat(np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.size)
+        x = np.empty(n)
+        for i in range(n):
+            mine = by_row[edge[i] : edge[i + 1]]
+            near, cos = self.nearest(term[mine], self.w[mine], k + 1) if len(mine) else (mine, mine)
+            x[i] = self._odds(near[near != i][:k], cos[near != i][:k])
+        own = n * np.where(self.y == 1, self.empty / n1, (1 - self.empty) / (n - n1))
+        line, design = np.array([0.0, 1.0]), np.stack([np.ones(n), x], axis=1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
+            slope = design.T @ (own * (p - self.y)) + (line - [0.0, 1.0])
+            step = np.linalg.solve(design.T @ (design * (own * p * (1 - p))[:, None]) + np.eye(2), slope)
+            line = line - np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-9:
+                break
+        self.line = (float(line[0]), max(0.1, float(line[1])))
+
+    def _odds(self, near: np.ndarray, cos: np.ndarray) -> float:
+        """Log odds of the neighbours' votes by squared cosine, beside which the base rate weighs PRIOR."""
+        weight = cos**2
+        vote = ((weight * self.y[near]).sum() + PRIOR * self.empty) / (weight.sum() + PRIOR)
+        return float(np.log(vote / (1 - vote)))
+
+    def _telling(self, term, of_term, y, most):
+        """Which terms say most about the label: in three examples at least, and in one class far oftener."""
+        pos, neg = (np.bincount(term[of_term == c], minlength=len(self.terms)) for c in (1, 0))
+        ratio = np.abs(np.log((pos + 0.5) / (max(1, (y == 1).sum()) + 1)) - np.log((neg + 0.5) / (max(1, (y == 0).sum()) + 1)))
+        gain = np.where((pos + neg >= 3) & (ratio > 1.5), ratio * np.sqrt(pos + neg), 0)
+        chosen = np.zeros(len(self.terms), bool)
+        chosen[np.argsort(-gain, kind="stable")[:most]] = True
+        return chosen & (gain > 0)
+
+    def query(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the indexed ones among sorted terms, and their weights in the text's unit vector."""
         at = np.searchsorted(self.terms, terms)
         hit = np.flatnonzero(at < len(self.terms))
         hit = hit[self.terms[at[hit]] == terms[hit]]
-        own = (1 + np.log(counts[hit])) * self.idf[at[hit]]
+        own = (1 + np.log(counts[hit])) * self.weight[at[hit]]
         return at[hit], own / np.sqrt(max(own @ own, 1e-300))
 
     def nearest(self, at: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: smaller id), and the cosines; exact."""
-        bound = own @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        step, i = 4, 0
-        while i < len(order):
-            if len(scores) >= k and bound[order[i]] < scores[k - 1] - 1e-12:
-                break
-            rows = (order[i : i + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.ids)]
-            found, scores = np.concatenate([found, rows]), np.concatenate([scores, self.rows[rows][:, at] @ own])
-            best = np.lexsort((self.ids[found], -np.round(scores, 12)))[:k]
-            found, scores, i, step = found[best], scores[best], i + step, step * 2
-        return found, scores
-
-    def score(self, terms, counts, k: int) -> tuple[float, np.ndarray]:
-        at, own = self._weights(terms, counts)
-        if not len(at) or not len(self.ids):
-            return self.empty, np.zeros(0, np.int64)
-        near, cos = self.nearest(at, own, k)
-        near, cos = near[cos > 0], cos[cos > 0]
+        """The at most k examples of largest cosine above 0 (ties: smaller id), and the cosines; exact."""
+        lengths = self.first[at + 1] - self.first[at]
+        entry, weight = ranges(self.first[at], lengths), np.repeat(own, lengths)
+        block = self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], minlength=self.blocks)
+        unread, scores, least = np.ones(self.blocks, bool), np.zeros(len(self.ids)), 0.0
+        for lead in (LEAD, self.blocks):
+            read = np.zeros(self.blocks, bool)
+            read[np.argsort(-bound, kind="stable")[:lead]] = True
+            read &= unread & (bound > least - 1e-9)
+            unread &= ~read
+            some = np.flatnonzero(read[block])
+            sizes = self.size[entry[some]]
+            posting = ranges(self.start[entry[some]], sizes)
+            scores += np.bincount(self.row[posting], self.w[posting] * np.repeat(weight[some], sizes), minlength=len(scores))
+            if len(scores) > k:
+                least = np.partition(scores, -k)[-k]
+        found = np.flatnonzero((scores > 0) & (scores > least - 1e-11))
+        best = found[np.lexsort((self.ids[found], -np.round(scores[found], 12)))[:k]]
+        return best, scores[best]
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+        at, own = self.query(terms, counts)
+        near, cos = self.nearest(at, own, k) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(near):
             return self.empty, near
-        weight = cos**2
-        vote = ((weight * self.y[near]).sum() + 0.25 * self.empty) / (weight.sum() + 0.25)
-        odds = np.log(vote / (1 - vote)) + 0.5 * self.shift
+        odds = self.line[0] + self.line[1] * self._odds(near, cos)
         return float(1 / (1 + np.exp(-odds))), self.ids[near]
 
 
-def build_index(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, bound: int = BOUND, terms: int = TERMS) -> Index:
+def document_frequencies(own: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each of the sorted terms stands, and the number of documents."""
+
+    def count(ids, buf, offsets):
+        term = term_counts(buf, offsets)[1]
+        at = np.searchsorted(terms, term)
+        at = at[at < len(terms)][terms[at[at < len(terms)]] == term[at < len(terms)]]
+        n = np.append(np.bincount(at, minlength=len(terms)), len(ids))
+        some = np.flatnonzero(n)
+        return {"term": some.astype(np.int32), "n": n[some]}
+
+    got = B.map_documents(own, count, "term int, n long", slice_bytes=8 << 20).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def build_index(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, bound: int = BOUND) -> Index:
     def features(ids, buf, offsets):
         owner, term, count = term_counts(buf, offsets)
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
@@ -125,15 +212,16 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str, modulus: int, re
         return {"doc_id": ids, "t": cut(term), "c": cut(count.astype(np.int32))}
 
     rows, counts = sample(docs, labels, label, modulus, rest, bound, features, "doc_id long, t binary, c binary")
-    base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    return Index(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), [(np.frombuffer(r["t"], U64), np.frombuffer(r["c"], np.int32)) for r in rows], terms, base)
+    base = (counts.get(1, 0) + 0.02) / (sum(counts.values()) + 1)
+    examples = [(np.frombuffer(r["t"], U64), np.frombuffer(r["c"], np.int32)) for r in rows]
+    return Index(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), examples, lambda terms: document_frequencies(docs, terms), base)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, rest: int = 2, threshold: float = 0.3, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (the probability of label 1), predicted, evidence (ids of the nearest examples).
 
     Rows with crc32(id as text) mod modulus = rest are held out of the index. A
-    null or empty text has no terms. Equal cosines go to the smaller example id.
+    null or empty text has no terms and gets the base rate. Whole texts of any length count. Equal cosines go to the smaller example id.
     Repeated rows each get a row; extra columns are not read.
     """
     own = B.documents(docs, id_col, text_col)
@@ -141,10 +229,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
 
     def score(ids, buf, offsets):
         owner, term, count = term_counts(buf, offsets)
-        at = np.searchsorted(index.terms, term)
-        known = at < len(index.terms)
-        known[known] = index.terms[at[known]] == term[known]
-        owner, term, count = owner[known], term[known], count[known]
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
         got = [index.score(term[a:b], count[a:b], k) for a, b in zip(edge[:-1], edge[1:], strict=True)]
         return {"doc_id": ids, "score": pa.array([g[0] for g in got], pa.float64()), "evidence": pa.array([g[1] for g in got], pa.list_(pa.int64()))}

@@ -161,14 +161,35 @@ def test_block_max_search_is_exact():
     docs = [(np.unique(rng.integers(1, 40, 6)).astype(np.uint64), None) for _ in range(500)]
     docs = [(t, np.ones(len(t))) for t, _ in docs]
     y = np.array([int(3 in t or 5 in t) for t, _ in docs])
-    index = toxicity.Index(np.arange(500), y, docs, 30, 0.3)
-    assert len(index.terms)
-    for t, c in docs[:50]:
-        at, own = index._weights(t, c)
-        if len(at):
-            near, cos = index.nearest(at, own, 10)
-            brute = np.sort(index.rows[:, at] @ own)[::-1][:10]
-            assert np.allclose(np.sort(cos)[::-1], brute)
+    df = lambda terms: (np.array([sum(t in d for d, _ in docs) for t in terms]) * 3, 1500)
+    index = toxicity.Index(np.arange(500), y, docs, df, 0.3)
+    assert index.blocks > 2 * toxicity.LEAD - 1 and set(index.terms) == {t for d, _ in docs for t in d}
+    telling = {t for t, w, n in zip(index.terms, index.weight, df(index.terms)[0], strict=True) if w > 1.01 * np.log(1501 / (n + 0.5))}
+    assert {3, 5} <= telling
+    unit = np.zeros((500, 40))
+    for i, (t, c) in enumerate(docs):
+        at, own = index.query(t, c)
+        unit[i, t.astype(int)] = own
+    assert np.allclose((unit**2).sum(axis=1), 1)
+    for i, (t, c) in enumerate(docs):
+        near, cos = index.nearest(*index.query(t, c), 10)
+        brute = unit @ unit[i]
+        want = sorted((-round(v, 12), j) for j, v in enumerate(brute) if v > 0)[:10]
+        assert [j for _, j in want] == list(index.ids[near]) and np.allclose([-v for v, _ in want], cos)
+    scores = [index.score(t, c, 15)[0] for t, c in docs]
+    assert np.mean([(s >= 0.5) == v for s, v in zip(scores, y, strict=True)]) > 0.97
+    assert index.score(np.array([77], np.uint64), np.ones(1), 10)[0] == 0.3
+
+
+def test_document_frequencies_cover_the_corpus_and_edge_rows(spark, none):
+    rows = [(1, "aa bb aa"), (2, "bb"), (2, "bb"), (None, "cc bb"), (5, None), (6, ""), (7, "dd " * 200_000 + "x" * 300_000)]
+    d = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, term string, n int")
+    words = toxicity.term_counts(np.frombuffer(b"aa bb cc dd zz", np.uint8), np.array([0, 14]))[1]
+    df, total = toxicity.document_frequencies(blocks.documents(d), np.unique(words))
+    assert total == 7 and sorted(df) == [0, 1, 1, 1, 4]
+    y = spark.createDataFrame([(1, 1), (2, 0), (7, 0), (7, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(d, y).collect()
+    assert len(got) == 7 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] in (5, 6)}) == 1
 
 
 def test_pii_base_spans_and_bootstrapped_ones(spark, docs, none):
