@@ -3,7 +3,9 @@
 Method: a bounded sample of labelled examples is indexed by an inverted index
 over all their terms. Postings lie in blocks of examples; each (term, block) has
 its largest weight, so the sum of query weight times block maximum bounds every
-cosine in the block. The blocks of highest bound are read first, then those whose
+cosine in the block. Lists of terms that many examples share are held as rows of
+all examples, whose part of the cosine is computed for many texts at once; the
+bound then takes its true maximum in the block. The blocks of highest bound are read first, then those whose
 bound can still beat the k-th best: the k nearest are exact. Their votes, weighted
 by cosine, become a calibrated score; the examples themselves are the evidence.
 
@@ -17,7 +19,7 @@ they are left out of its norm.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from .textcore import U64, Words, hash_spans, mix
 #: Labelled examples of each class in the index, terms of more weight and how much, neighbours.
 BOUND, TELLING, BOOST, NEIGHBOURS = 1500, 384, 16.0, 15
 #: Examples in a block, blocks read first.
-BLOCK, LEAD = 32, 8
+BLOCK, LEAD = 32, 4
+#: A term in more than this share of the examples has its weights in a row of all examples.
+COMMON = 0.1
 #: What the base rate weighs beside the squared cosines of the votes.
 PRIOR = 0.25
 _BEGIN = 5
@@ -52,7 +56,8 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     begin = mix(hash_spans(buf, words.starts[long], words.starts[long] + _BEGIN, lower=True) + U64(5))
     pair = np.concatenate([whole, begin])
     both = np.concatenate([owner, owner[long]])
-    order = np.lexsort((pair, both))
+    order = np.argsort(pair)  # then by document; short numbers are sorted by their digits
+    order = order[np.argsort(both[order].astype(np.uint16 if len(offsets) <= 1 << 16 else np.int64), kind="stable")]
     pair, both = pair[order], both[order]
     new = np.ones(len(pair), bool)
     new[1:] = (pair[1:] != pair[:-1]) | (both[1:] != both[:-1])
@@ -94,18 +99,25 @@ class Index:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         row = place[owner]
+        self.blocks = max(1, -(-n // BLOCK))
+        often = np.bincount(term, minlength=len(self.terms)) > COMMON * n
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.dense[self.common[term[often[term]]], row[often[term]]] = w[often[term]]
+        self.vectors = [(term[a:b], w[a:b]) for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True)]
         at = np.lexsort((row, term))
+        at = at[~often[term[at]]]
         self.row, self.w, term = row[at], w[at], term[at]
-        self.blocks = max(1, -(-n // BLOCK))
         key = term * self.blocks + self.row // BLOCK
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         self.start, self.size = start, np.diff(np.append(start, len(key)))
         self.block, self.most = key[start] % self.blocks, np.maximum.reduceat(self.w, start) if len(start) else self.w
         self.first = np.searchsorted(key[start] // self.blocks, np.arange(len(self.terms) + 1))
         self.empty, self.line = float(base), (0.0, 1.0)
-        self._calibrate(NEIGHBOURS)
+        self._calibrate([self.vectors[i] for i in order], NEIGHBOURS)
+        del self.vectors
 
-    def _calibrate(self, k: int) -> None:
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
         """Log odds of label 1 as a line of the vote's log odds, from votes on each example by all the others.
 
         Both classes weigh as in the corpus; the slope stays near 1 where examples are few.
@@ -114,13 +126,8 @@ class Index:
         n1 = int(self.y.sum())
         if n1 in (0, n):
             return
-        by_row = np.argsort(self.row, kind="stable")
-        edge = np.searchsorted(self.row[by_row], np.arange(n + 1))
-        term = np.repeat(np.repeat(np.arange(len(self.terms)), np.diff(self.first)), self.size)
         x = np.empty(n)
-        for i in range(n):
-            mine = by_row[edge[i] : edge[i + 1]]
-            near, cos = self.nearest(term[mine], self.w[mine], k + 1) if len(mine) else (mine, mine)
+        for i, (near, cos) in enumerate(self.nearest_of(vectors, k + 1)):
             x[i] = self._odds(near[near != i][:k], cos[near != i][:k])
         own = n * np.where(self.y == 1, self.empty / n1, (1 - self.empty) / (n - n1))
         line, design = np.array([0.0, 1.0]), np.stack([np.ones(n), x], axis=1)
@@ -156,35 +163,48 @@ class Index:
         own = (1 + np.log(counts[hit])) * self.weight[at[hit]]
         return at[hit], own / np.sqrt(max(own @ own, 1e-300))
 
-    def nearest(self, at: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The at most k examples of largest cosine above 0 (ties: smaller id), and the cosines; exact."""
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector the at most k examples of largest cosine above 0 (ties: smaller id), and the cosines; exact."""
+        for begin in range(0, len(vectors), 256):
+            some = vectors[begin : begin + 256]
+            query = np.zeros((len(some), len(self.dense)))
+            for i, (at, own) in enumerate(some):
+                row = self.common[at]
+                query[i, row[row >= 0]] = own[row >= 0]
+            for (at, own), part in zip(some, query @ self.dense, strict=True):
+                rare = self.common[at] < 0
+                yield self._nearest(at[rare], own[rare], part, k)
+
+    def _nearest(self, at: np.ndarray, own: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest by the sum of part, of each example, and the rare terms' postings."""
         lengths = self.first[at + 1] - self.first[at]
         entry, weight = ranges(self.first[at], lengths), np.repeat(own, lengths)
         block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], minlength=self.blocks)
-        unread, scores, least = np.ones(self.blocks, bool), np.zeros(len(self.ids)), 0.0
+        bound = part.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, weight * self.most[entry], minlength=self.blocks)
+        read, scores, least = np.zeros(self.blocks, bool), np.zeros(len(part)), 0.0
         for lead in (LEAD, self.blocks):
-            read = np.zeros(self.blocks, bool)
-            read[np.argsort(-bound, kind="stable")[:lead]] = True
-            read &= unread & (bound > least - 1e-9)
-            unread &= ~read
-            some = np.flatnonzero(read[block])
+            new = np.zeros(self.blocks, bool)
+            new[np.argsort(-bound, kind="stable")[:lead]] = True
+            new &= ~read & (bound > least - 1e-9)
+            read |= new
+            some = np.flatnonzero(new[block])
             sizes = self.size[entry[some]]
             posting = ranges(self.start[entry[some]], sizes)
             scores += np.bincount(self.row[posting], self.w[posting] * np.repeat(weight[some], sizes), minlength=len(scores))
+            scores += np.where(np.repeat(new, BLOCK), part, 0)
             if len(scores) > k:
                 least = np.partition(scores, -k)[-k]
         found = np.flatnonzero((scores > 0) & (scores > least - 1e-11))
         best = found[np.lexsort((self.ids[found], -np.round(scores[found], 12)))[:k]]
         return best, scores[best]
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[float, np.ndarray]:
-        at, own = self.query(terms, counts)
-        near, cos = self.nearest(at, own, k) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(near):
-            return self.empty, near
-        odds = self.line[0] + self.line[1] * self._odds(near, cos)
-        return float(1 / (1 + np.exp(-odds))), self.ids[near]
+    def score_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, np.ndarray]]:
+        """The probability of label 1 and the ids of the nearest examples, for each text's terms and counts."""
+        out = []
+        for near, cos in self.nearest_of([self.query(*t) for t in texts], k):
+            odds = self.line[0] + self.line[1] * self._odds(near, cos)
+            out.append((float(1 / (1 + np.exp(-odds))) if len(near) else self.empty, self.ids[near]))
+        return out
 
 
 def document_frequencies(own: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -230,7 +250,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     def score(ids, buf, offsets):
         owner, term, count = term_counts(buf, offsets)
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
-        got = [index.score(term[a:b], count[a:b], k) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        got = index.score_all([(term[a:b], count[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], k)
         return {"doc_id": ids, "score": pa.array([g[0] for g in got], pa.float64()), "evidence": pa.array([g[1] for g in got], pa.list_(pa.int64()))}
 
     scored = B.map_documents(own, score, "doc_id long, score double, evidence array<long>")

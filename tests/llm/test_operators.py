@@ -158,7 +158,7 @@ def test_quality_and_toxicity_tell_clear_cases_apart(spark, none):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    docs = [(np.unique(rng.integers(1, 40, 6)).astype(np.uint64), None) for _ in range(500)]
+    docs = [(np.unique(np.append(rng.integers(1, 8, 2), rng.integers(8, 80, 5))).astype(np.uint64), None) for _ in range(500)]  # terms of both kinds of list
     docs = [(t, np.ones(len(t))) for t, _ in docs]
     y = np.array([int(3 in t or 5 in t) for t, _ in docs])
     df = lambda terms: (np.array([sum(t in d for d, _ in docs) for t in terms]) * 3, 1500)
@@ -166,19 +166,20 @@ def test_block_max_search_is_exact():
     assert index.blocks > 2 * toxicity.LEAD - 1 and set(index.terms) == {t for d, _ in docs for t in d}
     telling = {t for t, w, n in zip(index.terms, index.weight, df(index.terms)[0], strict=True) if w > 1.01 * np.log(1501 / (n + 0.5))}
     assert {3, 5} <= telling
-    unit = np.zeros((500, 40))
+    unit = np.zeros((500, 80))
     for i, (t, c) in enumerate(docs):
         at, own = index.query(t, c)
         unit[i, t.astype(int)] = own
     assert np.allclose((unit**2).sum(axis=1), 1)
     for i, (t, c) in enumerate(docs):
-        near, cos = index.nearest(*index.query(t, c), 10)
+        near, cos = next(index.nearest_of([index.query(t, c)], 10))
         brute = unit @ unit[i]
         want = sorted((-round(v, 12), j) for j, v in enumerate(brute) if v > 0)[:10]
         assert [j for _, j in want] == list(index.ids[near]) and np.allclose([-v for v, _ in want], cos)
-    scores = [index.score(t, c, 15)[0] for t, c in docs]
+    scores = [s for s, _ in index.score_all(docs, 15)]
+    assert 0 < len(index.dense) < len(index.terms)
     assert np.mean([(s >= 0.5) == v for s, v in zip(scores, y, strict=True)]) > 0.97
-    assert index.score(np.array([77], np.uint64), np.ones(1), 10)[0] == 0.3
+    assert index.score_all([(np.array([99], np.uint64), np.ones(1))], 10)[0][0] == 0.3
 
 
 def test_document_frequencies_cover_the_corpus_and_edge_rows(spark, none):
