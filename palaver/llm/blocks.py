@@ -54,7 +54,7 @@ class Staged:
         return self
 
     def __exit__(self, *_) -> None:
-        _open_scopes.remove(self.paths)
+        _open_scopes[:] = [x for x in _open_scopes if x is not self.paths]
 
     def drop(self, spark: SparkSession) -> None:
         jvm = spark.sparkContext._jvm

@@ -142,13 +142,18 @@ def _parity_fits(percent: int):
 
 
 def _opened(tokens: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, int]:
-    """Prefix shingles that classes of different components share, and how many pairs across components these hold."""
+    """Prefix shingles that classes of different components share, and how many pairs across components these hold.
+
+    Components only grow, so a shingle that one of them has to itself is never
+    open again: a later turn's tokens are what was open before it.
+    """
+    tokens = tokens.select("tok", "cls", "n", "pos")
     labelled = tokens.withColumn("label", F.col("cls")) if joined is None else tokens.join(joined.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     if joined is not None:
         labelled = B.stage_table(labelled)
     mixed = labelled.groupBy("tok", "label").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("labels"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("work")).where("labels > 1")
     mixed = B.stage_table(mixed)
-    return labelled.join(mixed.select("tok"), "tok", "left_semi"), int(mixed.agg(F.sum("work")).first()[0] or 0)
+    return B.stage_table(labelled.join(mixed.select("tok"), "tok", "left_semi")), int(mixed.agg(F.sum("work")).first()[0] or 0)
 
 
 def _star_pairs(opened: DataFrame, tested: DataFrame | None, classes: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -184,11 +189,13 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     it links with one that has an id. Other columns are not read.
     """
     own = B.documents(docs, id_col, text_col)
-    rows = B.stage_table(shingle_profiles(own, k, percent))
-    summary = rows.select("doc_id", "n", "cls")
+    with B.Staged() as wide:
+        rows = B.stage_table(shingle_profiles(own, k, percent))
+    summary = B.stage_table(rows.select("doc_id", "n", "cls"))
     first = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     live = rows.where("prefix is not null")
     classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"), F.first("parity").alias("parity")))
+    wide.drop(own.sparkSession)  # only the summary and the classes are read from here on
     tokens = B.stage_table(classes.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", (F.col("unshared") + F.col("i")).alias("pos")))
 
     links = tested = None
@@ -202,7 +209,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
         tested = fresh if tested is None else B.stage_table(tested.union(fresh))
         links = new if links is None else B.stage_table(links.union(new))
         joined = B.stage_table(components(links))
-        opened, work = _opened(tokens, joined)
+        opened, work = _opened(opened, joined)
     opened = B.stage_table(opened.join(classes.select("cls", "parity"), "cls"))
     side = lambda s: opened.select("tok", F.col("cls").alias(s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("label").alias("l" + s), F.col("parity").alias("x" + s))
     rest = side("a").join(side("b"), "tok").where("a < b and la <> lb").where(_fits(percent) & _parity_fits(percent)).select("a", "b").distinct()
