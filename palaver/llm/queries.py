@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, ngram_join, packing, pii, quality, rnn_lm, rules, substring, toxicity
+from . import alignment, bpe, forest, mixing, ngram_join, packing, periodic, pii, quality, rnn_lm, rules, substring, toxicity
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -53,7 +53,35 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_substring_dedup, op4_pii, op5_bpe, op6_toxicity, op7_lm_scoring, op8_quality_rules, op9_nearest_neighbours, op10_packing)}
+def _repeated_from(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 ends in 0 repeat a stretch of their words to their end, as the contract of op11 has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = docs.withColumn("_w", F.when(h % 10 == 0, F.filter(F.split("text", rules.SPACES), lambda x: x != "")))
+    d = d.withColumn("_g", F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10")).withColumn("_n", F.size("_w").cast("long"))
+    d = d.withColumn("_a", F.expr("case when _n > 0 then _g % _n end")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    words = F.expr("transform(sequence(0, _n - 1), i -> get(_w, cast(if(i < _a, i, _a + (i - _a) % _p) as int)))")
+    return d.select("doc_id", F.when(F.col("_n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic.periodic_runs(_repeated_from(_table(spark, d, "documents"))).withColumn("best", periodic.strongest_run())
+    said = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), sha(said).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_source_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, d, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align_tokens(_table(spark, d, "documents"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_substring_dedup, op4_pii, op5_bpe, op6_toxicity, op7_lm_scoring, op8_quality_rules, op9_nearest_neighbours, op10_packing, op11_periodic_runs, op12_source_mixing, op13_token_alignment)}
 
 #: What SQL expresses whole is compared with DuckDB; the others are tested against brute force (tests/llm).
 ORACLE_SQL: dict[str, str] = {}
