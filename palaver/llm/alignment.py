@@ -6,7 +6,8 @@ are those of its segments, one after the other. A task takes a block of some MB
 and works on its distinct segments: token ends are running sums of token lengths,
 np.intersect1d gives the cuts that both share, np.searchsorted the group of each
 token, and np.repeat writes out the overlapping pairs. A document adds up what
-its segments have.
+its segments have. A worker remembers the tokens of some segments that it has met;
+they are known by 128 bits of two hashes.
 
 The corpus-wide counts of id pairs are summed in two shuffles: per pair and salt,
 then per pair. Each block gets the counts of its own pairs back by a join, and its
@@ -19,6 +20,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,17 @@ from . import blocks as B
 from .textcore import hash_spans, ragged
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SALTS = 16
+#: Segments whose tokens a worker remembers.
+REMEMBERED = 1 << 19
 _SHIFT = 20  # a pair is (B id << 20) + A id
 _MARK = "▁"
 # The last two bytes of white space beyond ASCII begin with one of these.
 _MAY_BE_SPACE = np.zeros(256, bool)
 _MAY_BE_SPACE[[0x80, 0x81, 0x9A, 0xC2]] = True
 PER_DOC = ("n_a", "n_b", "n_groups", "n_links")
-_STAGED = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, ptr array<int>, segment array<int>, link_ptr array<int>, link array<int>, pair array<long>, n array<long>"
+_STAGED = "block long, docs binary, ptr binary, segment binary, link_ptr binary, link binary, pair array<long>, n array<long>"
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -68,6 +72,12 @@ def byte_tokenizer(path: str):
     return t, _table([bytes(byte[c] for c in t.id_to_token(i) or "" if c in byte) for i in range(size)])
 
 
+@lru_cache(maxsize=2)
+def sign_texts(size: int) -> np.ndarray:
+    """`,id`, `;id` and `|id` of all ids, one kind after the other."""
+    return np.array([b"%c%d" % (c, i) for c in (44, 59, 124) for i in range(size)], object)
+
+
 @lru_cache(maxsize=2)
 def piece_tokenizer(path: str):
     """B's tokenizer, the bytes of its ids, and the id of a lone space."""
@@ -100,19 +110,62 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text, begins, np.searchsorted(begins, np.append(starts, len(text)))
 
 
+class Tokens:
+    """Tokens of segments: keys (two hashes), and a[a_at[i]:][:n_a[i]] and b[b_at[i]:][:n_b[i]] of segment i."""
+
+    def __init__(self, one, two, a, n_a, b, n_b):
+        self.one, self.two, self.a, self.n_a, self.b, self.n_b = one, two, a, n_a, b, n_b
+        self.a_at, self.b_at = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+
+    @classmethod
+    def encode(cls, one: np.ndarray, two: np.ndarray, parts: list[bytes], paths: tuple[str, str]) -> Tokens:
+        ta, (tb, _, space) = byte_tokenizer(paths[0])[0], piece_tokenizer(paths[1])
+        a, b, n_a, n_b = [], [], [], []
+        for i in range(0, len(parts), 4096):
+            texts = [x.decode("utf-8", "replace") for x in parts[i : i + 4096]]
+            for ids, lists, n in ((a, [x.ids for x in ta.encode_batch_fast(texts, add_special_tokens=False)], n_a), (b, [x or [space] for x in tb.encode([x[1:] for x in texts], num_threads=1)], n_b)):
+                n.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(n[-1].sum())))
+        join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+        return cls(one, two, join(a, np.int32), join(n_a, np.int64), join(b, np.int32), join(n_b, np.int64))
+
+    def take(self, i: np.ndarray) -> Tokens:
+        return Tokens(self.one[i], self.two[i], ragged(self.a, self.a_at[i], self.n_a[i]), self.n_a[i], ragged(self.b, self.b_at[i], self.n_b[i]), self.n_b[i])
+
+    def plus(self, other: Tokens) -> Tokens:
+        """Both, by the first hash."""
+        both = Tokens(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("one", "two", "a", "n_a", "b", "n_b")))
+        return both.take(np.argsort(both.one, kind="stable"))
+
+
+_memory: dict[tuple[str, str], Tokens] = {}
+
+
+def tokens_of(one: np.ndarray, two: np.ndarray, part, paths: tuple[str, str]) -> Tokens:
+    """The tokens of distinct segments, by ascending first hash; part(i) gives the bytes of those at i. What isn't remembered is encoded."""
+    known = _memory.get(paths)
+    if known is None or not len(known.one):
+        new = Tokens.encode(one, two, part(np.arange(len(one))), paths)
+        _memory[paths] = new
+        return new
+    at = np.minimum(np.searchsorted(known.one, one), len(known.one) - 1)
+    have = (known.one[at] == one) & (known.two[at] == two)
+    lack = np.flatnonzero(~have)
+    new = Tokens.encode(one[lack], two[lack], part(lack), paths)
+    out = known.take(at[have]).plus(new)
+    fresh = known.one[at[lack]] != new.one
+    _memory[paths] = known.plus(new.take(np.flatnonzero(fresh))) if len(known.one) + len(lack) <= REMEMBERED else out
+    return out
+
+
 class Aligned:
     """Segments with their tokens, groups and links, each list in the order of the segments; n_a and so on say how many each has."""
 
-    def __init__(self, parts: list[bytes], paths: tuple[str, str]):
-        (ta, table_a), (tb, table_b, space) = byte_tokenizer(paths[0]), piece_tokenizer(paths[1])
-        texts = [x.decode("utf-8", "replace") for x in parts]
-        got_a = [x.ids for i in range(0, len(texts), 5000) for x in ta.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
-        got_b = [y or [space] for i in range(0, len(texts), 5000) for y in tb.encode([x[1:] for x in texts[i : i + 5000]], num_threads=1)]
-        self.n_a, self.n_b = (np.array([len(x) for x in g], np.int64) for g in (got_a, got_b))
-        self.a, self.b = (np.fromiter((i for x in g for i in x), np.int64, int(n.sum())) for g, n in ((got_a, self.n_a), (got_b, self.n_b)))
+    def __init__(self, joined: np.ndarray, size: np.ndarray, t: Tokens, paths: tuple[str, str]):
+        table_a, table_b = byte_tokenizer(paths[0])[1], piece_tokenizer(paths[1])[1]
+        self.a, self.b, self.n_a, self.n_b = t.a.astype(np.int64), t.b.astype(np.int64), t.n_a, t.n_b
+        parts = size
         # tokens that don't give back the segment spoil the documents that hold it
-        size = np.array([len(x) for x in parts], np.int64)
-        joined = np.frombuffer(b"".join(parts), np.uint8)
         self.good = self._gives_back(self.a, self.n_a, table_a, joined, size) & self._gives_back(self.b, self.n_b, table_b, joined, size)
         keep_a, keep_b = np.repeat(self.good, self.n_a), np.repeat(self.good, self.n_b)
         self.a, self.b = self.a[keep_a], self.b[keep_b]
@@ -146,15 +199,14 @@ class Aligned:
 
     def group_texts(self) -> list[bytes]:
         """Of each segment `a1,a2|b1;a3|b2,b3`: A ids, then B ids of each group in decimal."""
-        ids = np.concatenate([self.a, self.b])
-        kind = np.repeat([0, 1], [len(self.a), len(self.b)])
-        group = np.concatenate([self.group_a, self.group_b])
-        order = np.lexsort((np.arange(len(ids)), kind, group))
-        ids, kind, group = ids[order], kind[order], group[order]
+        key = np.concatenate([2 * self.group_a, 2 * self.group_b + 1])
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], np.concatenate([self.a, self.b])[order]
         new = np.ones(len(ids), bool)
-        new[1:] = (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])
-        signs = np.where(new, np.where(kind == 0, 59, 124), 44)
-        parts = [b"%c%d" % x for x in zip(signs.tolist(), ids.tolist(), strict=True)]
+        new[1:] = key[1:] != key[:-1]
+        size = int(ids.max(initial=0)) + 1
+        texts = sign_texts(1 << size.bit_length())
+        parts = texts[ids + (len(texts) // 3) * np.where(new, 1 + (key & 1), 0)].tolist()
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         return [b"".join(parts[a:b])[1:] for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -169,8 +221,14 @@ def _block_row(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, paths: tuple
     """One row of _STAGED (without block) of a block of documents."""
     text, begins, ptr = segments(buf, offsets)
     ends = np.append(begins[1:], len(text))
-    _, first, back = np.unique(hash_spans(text, begins, ends), return_index=True, return_inverse=True)
-    x = Aligned([text[a:b].tobytes() for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)], paths)
+    one, two = hash_spans(text, begins, ends), hash_spans(text, begins, ends, kind=12)
+    keys, first, back = np.unique(one, return_index=True, return_inverse=True)
+    if not np.array_equal(two[first][back], two):
+        _, first, back = np.unique(np.stack([one, two]), axis=1, return_index=True, return_inverse=True)
+        keys, back = one[first], back.ravel()
+    begin, size = begins[first], (ends - begins)[first]
+    t = tokens_of(keys, two[first], lambda i: [text[a : a + n].tobytes() for a, n in zip(begin[i].tolist(), size[i].tolist(), strict=True)], paths)
+    x = Aligned(ragged(text, begin, size), size, t, paths)
     empty = np.diff(offsets) == 0
     good = ~empty & (_sums(~x.good[back], ptr) == 0)
     doc = np.repeat(np.arange(len(good)), np.diff(ptr))
@@ -185,13 +243,11 @@ def _block_row(ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, paths: tuple
     said = own[back].tolist()
     groups = [b";".join(said[a:b]) if ok else b"" for a, b, ok in zip(ptr[:-1].tolist(), ptr[1:].tolist(), good.tolist(), strict=True)]
     groups = [(hashlib.sha256(g).hexdigest() if g else "") if digest else g.decode() for g in groups]
-    one = lambda v, t: pa.array([v], pa.list_(t))
-    row = {"doc_id": pa.ListArray.from_arrays([0, len(ids)], ids)}
-    row |= {k: one(_sums(getattr(x, k)[back], ptr), pa.int64()) for k in PER_DOC}
-    row["groups"] = one(groups, pa.string())
-    row |= {"ptr": one(ptr.astype(np.int32), pa.int32()), "segment": one(back.astype(np.int32), pa.int32())}
-    row |= {"link_ptr": one(np.concatenate(([0], np.cumsum(x.n_links))).astype(np.int32), pa.int32()), "link": one(link.astype(np.int32), pa.int32())}
-    return row | {"pair": one(pair, pa.int64()), "n": one(n, pa.int64())}
+    docs = pa.table({"doc_id": ids, **{k: pa.array(_sums(getattr(x, k)[back], ptr)) for k in PER_DOC}, "groups": pa.array(groups, pa.string())})
+    row = {"docs": pa.array([B._ipc(docs)], pa.binary())}
+    for k, v in (("ptr", ptr), ("segment", back), ("link_ptr", np.concatenate(([0], np.cumsum(x.n_links)))), ("link", link)):
+        row[k] = pa.array([B.zip_planes(v)], pa.binary())
+    return row | {k: pa.array([v], pa.list_(pa.int64())) for k, v in (("pair", pair), ("n", n))}
 
 
 def aligned_blocks(docs: DataFrame, paths: tuple[str, str], digest: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -262,14 +318,14 @@ def align_tokens(docs: DataFrame, paths: tuple[str, str] | None = None, id_col:
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("pair").to_numpy())
         total, best = (right.column(c).to_numpy()[order] for c in ("total", "best"))
-        row = {k: (c := left.column(k).combine_chunks()).flatten() for k in left.column_names if pa.types.is_list(left.column(k).type)}
-        num = lambda k: row[k].to_numpy(zero_copy_only=False)
-        if len(row["pair"]) != len(total):
+        row = {k: left.column(k)[0].as_buffer() for k in ("docs", "ptr", "segment", "link_ptr", "link")}
+        docs = pa.ipc.open_stream(row["docs"]).read_all()
+        link, by, segment, ptr = (B.unzip_planes(row[k]).astype(np.int64) for k in ("link", "link_ptr", "segment", "ptr"))
+        if left.column("pairs")[0].as_py() != len(total):
             raise ValueError("a block's replies don't fit its pairs")
-        link, by = num("link"), num("link_ptr")
-        out = {k: row[k] for k in ("doc_id", *PER_DOC)}
+        out = {k: docs.column(k) for k in ("doc_id", *PER_DOC)}
         for k, v in (("n_best", best.astype(np.int64)), ("count_sum", total)):
-            out[k] = pa.array(_sums(_sums(v[link], by)[num("segment")], num("ptr")), pa.int64())
-        return pa.table(out | {name: row["groups"]})
+            out[k] = pa.array(_sums(_sums(v[link], by)[segment], ptr), pa.int64())
+        return pa.table(out | {name: docs.column("groups")})
 
-    return staged.drop("n").groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(whole, schema)
+    return staged.withColumn("pairs", F.size("pair")).drop("n", "pair").groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(whole, schema)
