@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import SLANG
+
 WORD = "[A-Za-z][A-Za-z'’]*[A-Za-z]|[A-Za-z]"
 # What chat exports write in place of a file or of a deleted message.
 MEDIA = ("<media omitted>", "image omitted", "video omitted", "audio omitted", "sticker omitted", "gif omitted", "document omitted", "this message was deleted", "you deleted this message", "<attached:")
@@ -12,12 +14,17 @@ MEDIA = ("<media omitted>", "image omitted", "video omitted", "audio omitted", "
 MEDIA_HINTS = ("mitted", "elete", "ttach")
 # Stretched and laughing parts of words.
 STRETCHED = ("ooo", "aaa", "eee", "yyy", "mmm", "zz", "haha", "hehe", "lol")
-_MODIFIED = "[\U0001f300-\U0001faff☀-➿][\U0001f3fb-\U0001f3ff️]*"
+_MODIFIED = "[\U0001f300-\U0001faff☀-➿⬅-⭕][\U0001f3fb-\U0001f3ff️]*"
 EMOJI = f"[\U0001f1e6-\U0001f1ff]{{2}}|{_MODIFIED}(?:‍{_MODIFIED})*"
 
 
 def words_of(text: Column) -> Column:
-    """Latin words; both apostrophes count as one, digits and accents split."""
+    """The words of a message: links, mentions and tags hold none."""
+    return latin_words(sanitise(text))
+
+
+def latin_words(text: Column) -> Column:
+    """Latin words of clean text; both apostrophes count as one, digits and accents split."""
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: F.replace(x, F.lit("’"), F.lit("'")))
 
 
@@ -45,8 +52,8 @@ def shouted(text: Column) -> Column:
 
 
 def noise(word: Column) -> Column:
-    """Too short, one letter repeated, stretched or laughing, or not letters."""
-    return (F.length(word) < 3) | word.rlike(r"^(.)\1{2,}$|" + "|".join(STRETCHED)) | ~word.rlike("^[a-z']+$")
+    """Too short, slang, one letter repeated, stretched or laughing, or not letters."""
+    return (F.length(word) < 3) | word.isin(SLANG) | word.rlike(r"^(.)\1{2,}$|" + "|".join(STRETCHED)) | ~word.rlike("^[a-z']+$")
 
 
 def ratio(num: Column | str, den: Column | str, digits: int) -> Column:

@@ -1,29 +1,15 @@
-"""Quantitative claims in texts, and the facts, myths and appeals they meet. The tables of facts are our own."""
+"""Plain claims of digits and words, and what a corpus of claims meets in the packs of facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Id, kind, value, short, tags, pack.
-FACTS = [
-    ("bike_home", "percent", 48.0, "homes that own a bicycle", "home,us", "core"), ("late_trains", "percent", 40.0, "trains that ran late one winter", "travel", "core"),
-    ("no_breakfast", "percent", 23.0, "adults who skip breakfast", "food,us", "core"), ("read_labels", "percent", 61.0, "shoppers who read labels", "food", "core"),
-    ("late_flights", "percent", 26.0, "flights that leave late", "travel,us", "core"), ("full_flights", "percent", 63.0, "seats filled on a flight", "travel", "extra"),
-    ("daily_cooks", "percent", 36.0, "people who cook daily", "food,home", "extra"), ("rail_growth", "change", 50.0, "growth of a small railway", "travel", "core"), ("tall_twin", "ratio", 2.0, "height of one tower to another", "city", "core"),
-]
-# Order, pattern, fact.
-TOPICS = [(1, "bike", "bike_home"), (2, "trains?", "late_trains"), (3, "breakfast", "no_breakfast"), (4, "label", "read_labels"), (5, "flights?", "late_flights"), (6, "cook", "daily_cooks")]
-# Order, id, patterns that must all match.
-MYTHS = [(1, "bad_vaccines", ["vaccin", "bad"]), (2, "flat_earth", ["earth", "flat"])]
-# Order, name, pattern.
-APPEALS = [(1, "everyone", "everyone knows|nobody"), (2, "authority", "experts say"), (3, "always", "always|never")]
-# Order, phrase, point, low, high.
-VAGUE = [(1, "most", 65.0, 50.0, 90.0), (2, "few", 10.0, 1.0, 25.0), (3, "half", 50.0, 45.0, 55.0), (4, "nobody", 0.0, 0.0, 2.0)]
-
+from ..sources.packs import Book
+from . import verdicts as V
 
-def facts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *f[:4], f[4].split(","), f[5]) for i, f in enumerate(FACTS)], "ord long, id string, kind string, value double, short string, tags array<string>, pack string")
+# Order, phrase, point, low, high.
+VAGUE = [(1, "most", 65.0, 50.5, 100.0), (2, "few", 10.0, 1.0, 25.0), (3, "half", 50.0, 42.0, 58.0), (4, "nobody", 1.0, 0.0, 1.0)]
 
 
 def percent_claims(m: DataFrame) -> DataFrame:
@@ -44,60 +30,52 @@ def vague_quantifiers(m: DataFrame) -> DataFrame:
     return m.join(F.broadcast(t), F.expr("regexp_like(lower(text), '(^|[^a-z])' || phrase || '([^a-z]|$)')")).select("msg_id", "phrase", "point", "lo", "hi")
 
 
-def distance(kind, value, other):
-    """By difference for percentages, by ten times the difference of logarithms for the others."""
-    fold = lambda c: F.greatest(F.greatest(1 + c / 100, F.lit(0.01)), 1 / F.greatest(1 + c / 100, F.lit(0.01)))
-    by_log = lambda a, b: 10 * F.abs(F.ln(a) - F.ln(b))
-    return F.when(kind == "percent", F.abs(value - other)).when(kind == "ratio", by_log(value, other)).otherwise(by_log(fold(value), fold(other)))
-
-
-def nearest_facts(claims: DataFrame, facts_df: DataFrame, k: int = 2, tolerance: float = 6.0) -> DataFrame:
-    """The k nearest facts of each claim of the same kind; far ones rank last but still count. Distinct magnitudes are matched once."""
-    values = claims.select("kind", "value").distinct()
-    f = facts_df.select(F.col("kind"), F.col("id").alias("fact_id"), F.col("value").alias("fact_value"))
-    d = values.join(F.broadcast(f), "kind").withColumn("gap", distance(F.col("kind"), F.col("value"), F.col("fact_value")))
-    w = Window.partitionBy("kind", "value").orderBy((F.col("gap") > tolerance), "gap", "fact_id")
-    best = d.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    return claims.join(best, ["kind", "value"]).select("msg_id", "claim_no", "value", "rank", "fact_id", "gap")
+def coincidences(book: Book, claims: DataFrame, tolerance: float = 2.5) -> DataFrame:
+    """Pairs of percentages close by chance (different subjects, neither of health), with how many claims each of the two is a parallel of.
 
-
-def coincidences(facts_df: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """Pairs of percentages close by chance: different subjects, neither of health. The table of facts is small and fixed."""
-    a, b = facts_df.alias("a"), facts_df.alias("b")
+    Where no pair is that close, the first two percentages are the pair. The table of facts is bounded by its packs.
+    """
+    f = book.fact_table(claims.sparkSession).where("kind = 'percent'")
+    a, b = f.alias("a"), f.alias("b")
     apart = ~F.arrays_overlap(F.array_remove("a.tags", "us"), F.array_remove("b.tags", "us")) & ~F.array_contains("a.tags", "health") & ~F.array_contains("b.tags", "health")
-    return a.join(F.broadcast(b), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.ord") < F.col("b.ord"))).where((F.col("a.kind") == "percent") & (F.abs(F.col("a.value") - F.col("b.value")) <= tolerance) & apart).select(F.col("a.id").alias("one"), F.col("b.id").alias("other"))
+    every = a.join(V.near(b, len(book.facts)), F.col("a.ord") < F.col("b.ord")).select(F.col("a.id").alias("one"), F.col("b.id").alias("other"), F.abs(F.col("a.value") - F.col("b.value")).alias("gap"), apart.alias("apart"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"))
+    w = Window.orderBy(~(F.col("apart") & (F.col("gap") <= tolerance)), "i", "j")
+    pairs = every.withColumn("r", F.row_number().over(w)).where((F.col("apart") & (F.col("gap") <= tolerance)) | (F.col("r") == 1))
+    met = V.parallels(claims, book).groupBy(F.col("other_id").alias("id")).agg(F.count("*").alias("n"))
+    for c in ("one", "other"):
+        pairs = pairs.join(met.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    return pairs.select("one", "other", F.round("gap", 2).alias("gap"), F.coalesce("n_one", F.lit(0)).alias("n_one"), F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
 
-def topic_of(m: DataFrame) -> DataFrame:
-    """The first topic whose pattern a text matches, and its fact. Each distinct text is matched once."""
-    t = F.broadcast(m.sparkSession.createDataFrame(TOPICS, "ord long, pattern string, fact_id string"))
-    hit = m.select("text").distinct().join(t, F.expr("regexp_like(lower(text), pattern)")).groupBy("text").agg(F.min(F.struct("ord", "fact_id")).alias("x"))
-    return m.join(hit, "text").select("msg_id", F.col("x.ord").alias("topic"), F.col("x.fact_id").alias("fact_id"))
+def pack_counts(packs: DataFrame, book: Book, checked: DataFrame) -> DataFrame:
+    """Each pack's facts and flags, and how many of the claims its facts check."""
+    used = checked.where("fact_id is not null").groupBy("fact_id").agg(F.count("*").alias("n"))
+    own = book.fact_table(checked.sparkSession).select(F.col("id").alias("fact_id"), "pack").join(used, "fact_id").groupBy("pack").agg(F.sum("n").alias("checks"))
+    listed = packs.select("id", "name", F.size("facts").cast("long").alias("facts"), "always_on", "locked", "enabled")
+    return listed.join(own, listed["id"] == own["pack"], "left").select(F.col("id").alias("pack"), "facts", "always_on", "locked", "enabled", F.coalesce("checks", F.lit(0)).alias("checks"))
 
 
-def sentences_of(m: DataFrame) -> DataFrame:
-    return m.select("msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))).alias("i", "s")).select("msg_id", F.col("i").cast("long").alias("sentence_no"), F.lower("s").alias("s"))
+def card_fact(card: DataFrame, book: Book) -> DataFrame:
+    """A card's share of sent messages beside the fact of the nearest size."""
+    claim = card.select("*", F.lit("percent").alias("kind"), F.round(F.col("sent_share") * 100, 1).alias("value"), F.lit("exact").alias("quantifier"))
+    met = V.parallels(claim, book, 1)
+    return met.select(*card.columns, F.col("other_id").alias("fact_id"), "fact", F.round("gap", 1).alias("gap"))
 
 
-def myths_in(m: DataFrame) -> DataFrame:
-    t = F.broadcast(m.sparkSession.createDataFrame(MYTHS, "ord long, id string, patterns array<string>"))
-    hit = sentences_of(m).join(t, F.expr("forall(patterns, p -> regexp_like(s, p))"))
-    return hit.groupBy("msg_id", "sentence_no").agg(F.min(F.struct("ord", "id")).alias("x")).select("msg_id", "sentence_no", F.col("x.id").alias("myth"))
+def sentences_of(m: DataFrame) -> DataFrame:
+    return m.select("msg_id", F.posexplode(F.regexp_extract_all("text", F.lit(V.SENTENCE), F.lit(0))).alias("i", "s")).select("msg_id", F.col("i").cast("long").alias("sentence_no"), "s")
 
 
-def appeals_in(m: DataFrame) -> DataFrame:
-    t = F.broadcast(m.sparkSession.createDataFrame(APPEALS, "ord long, name string, pattern string"))
-    hit = sentences_of(m).join(t, F.expr("regexp_like(s, pattern)"))
-    return hit.groupBy("msg_id", "sentence_no").agg(F.min(F.struct("ord", "name")).alias("x")).select("msg_id", "sentence_no", F.col("x.name").alias("appeal"))
+def topics_in(claims: DataFrame, book: Book) -> DataFrame:
+    """The first topic of each claim's clause."""
+    return claims.select("msg_id", "start", V.topic_of(F.col("context"), book).cast("long").alias("topic")).where("topic is not null")
 
 
-def verdicts(m: DataFrame, facts_df: DataFrame) -> DataFrame:
-    """A percentage whose text has a topic against that topic's fact: within 3 fair, within 10 close, else off."""
-    f = facts_df.select(F.col("id").alias("fact_id"), F.col("value").alias("real"))
-    gap = F.abs(F.col("value") - F.col("real"))
-    c = percent_claims(m).join(topic_of(m), "msg_id").join(F.broadcast(f), "fact_id")
-    return c.select("msg_id", "claim_no", "value", "fact_id", F.when(gap <= 3, "fair").when(gap <= 10, "close").otherwise("off").alias("verdict"))
+def myths_in(m: DataFrame, book: Book) -> DataFrame:
+    names = F.array(*(F.lit(x["id"]) for x in book.myths))
+    found = m.select("msg_id", F.explode(V.mythic_spans(F.col("text"), book)).alias("x"))
+    return found.select("msg_id", "x.start", "x.end", F.get(names, F.col("x.myth")).alias("myth"))
 
 
-def pack_counts(facts_df: DataFrame) -> DataFrame:
-    return facts_df.groupBy("pack").agg(F.count("*").alias("facts"))
+def appeals_in(m: DataFrame) -> DataFrame:
+    return m.select("msg_id", F.explode(V.appeals(F.col("text"))).alias("x")).select("msg_id", F.col("x.kind").alias("appeal"), "x.start", "x.said")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import emoji_of, is_media, noise, ratio, sanitise, sentences, shouted, words_of
+from ..functions.text import emoji_of, is_media, noise, ratio, sentences, shouted, words_of
 from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
 
 #: Longest word list that is broadcast; a longer one is joined by a shuffle.
@@ -42,8 +42,8 @@ def noise_words(m: DataFrame) -> DataFrame:
 def _checked(m: DataFrame, direction: str | None) -> DataFrame:
     """Words that a spelling check looks at; names (capital inside a sentence) and noise only count as checked."""
     rows = m if direction is None else m.where(F.col("direction") == direction)
-    rows = rows.where(~is_media(F.col("text"))).withColumn("loud", shouted(F.col("text"))).withColumn("clean", sanitise(F.col("text")))
-    s = rows.select("msg_id", "contact", "sender", "ts", "text", "loud", F.posexplode(sentences(F.col("clean"))).alias("s_no", "s"))
+    rows = rows.where(~is_media(F.col("text"))).withColumn("loud", shouted(F.col("text")))
+    s = rows.select("msg_id", "contact", "sender", "ts", "text", "loud", F.posexplode(sentences(F.col("text"))).alias("s_no", "s"))
     t = s.select("msg_id", "contact", "sender", "ts", "text", "loud", "s_no", F.posexplode(words_of(F.col("s"))).alias("pos", "word")).withColumn("lw", F.lower("word"))
     return t.withColumn("looked_at", ~noise(F.col("lw")) & ~((F.col("pos") > 0) & F.col("word").rlike("^[A-Z]") & ~F.col("loud")))
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EMOJI, MEDIA, MEDIA_HINTS, STRETCHED, WORD
 from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
-from ..operators import claims, conversations, extract, lexical, search, volume
-from ..sources import decode
-from ..sources.driver_tables import CONVERSATIONS_SQL, EVENTS_SQL, messages_from_conversations, messages_from_events
+from ..operators import claims, conversations, extract, lexical, search, verdicts, volume
+from ..sources import decode, packs
+from ..sources.driver_tables import CLAIMS_SQL, CONVERSATIONS_SQL, EVENTS_SQL, messages_from_conversations, messages_from_events, messages_with_claims
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _add(name: str, query, sql: str | None = None, base: str = EVENTS_SQL, more: str = "") -> None:
-    source = messages_from_events if base is EVENTS_SQL else messages_from_conversations
+    source = {EVENTS_SQL: messages_from_events, CONVERSATIONS_SQL: messages_from_conversations, CLAIMS_SQL: messages_with_claims}[base]
     QUERIES[name] = lambda spark, d: query(source(spark, d))
     QUERIES[name].__name__ = name
     if sql:
@@ -38,7 +41,9 @@ def _list(words) -> str:
 
 
 _MEDIA = f"(regexp_matches(text, '{'|'.join(h for x in MEDIA_HINTS for h in (x, x.upper()))}') AND regexp_matches(lower(text), {_q('|'.join(MEDIA))}))"
-_WORDS = f"list_transform(regexp_extract_all(text, {_q(WORD)}), lambda x: replace(x, '’', ''''))"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), 'www\.\S+', ' ', 'g'), '[@#]\w+', ' ', 'g')"
+_LATIN = f"list_transform(regexp_extract_all(text, {_q(WORD)}), lambda x: replace(x, '’', ''''))"
+_WORDS = _LATIN.replace("(text,", f"({_CLEAN},")
 _S, _R = "count_if(direction = 'sent')", "count_if(direction = 'received')"
 
 # volume
@@ -101,9 +106,9 @@ _add("word_frequency_conversations", lambda m: lexical.word_frequency(m, limit=N
 _SENT = r"unnest(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))"
 _add("sentence_token_counts", lexical.sentence_tokens, f"SELECT msg_id, s.i - 1 AS sentence_no, len({_WORDS.replace('(text,', '(s.x,')}) AS words FROM (SELECT msg_id, unnest(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM msgs) WHERE len({_WORDS.replace('(text,', '(s.x,')}) > 0")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_NOISE = f"(length(lw) < 3 OR regexp_matches(lw, '^({'|'.join(c * 3 + '+' for c in _LETTERS)}|''''''+)$|{'|'.join(STRETCHED)}') OR NOT regexp_matches(lw, '^[a-z'']+$'))"
+_NOISE = f"(length(lw) < 3 OR lw IN ({_list(SLANG)}) OR regexp_matches(lw, '^({'|'.join(c * 3 + '+' for c in _LETTERS)}|''''''+)$|{'|'.join(STRETCHED)}') OR NOT regexp_matches(lw, '^[a-z'']+$'))"
 _add("noise_words", lexical.noise_words, f"SELECT lw, count(*) AS count FROM tok WHERE {_NOISE} GROUP BY 1", more=_TOK)
-_SPELL = f"""s0 AS (SELECT msg_id, contact, sender, ts, text, upper(text) = text AND lower(text) <> text AS loud, unnest(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), 'www\\.\\S+', ' ', 'g'), '[@#]\\w+', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM msgs WHERE direction = 'sent' AND NOT {_MEDIA}),
+_SPELL = f"""s0 AS (SELECT msg_id, contact, sender, ts, text, upper(text) = text AND lower(text) <> text AS loud, unnest(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'x': x, 'i': i}})) AS s FROM msgs WHERE direction = 'sent' AND NOT {_MEDIA}),
 s1 AS (SELECT msg_id, contact, sender, ts, text, loud, s.i AS s_no, unnest(list_transform({_WORDS.replace('(text,', '(s.x,')}, lambda x, i: {{'w': x, 'i': i}})) AS t FROM s0), s2 AS (SELECT *, t.w AS word, lower(t.w) AS lw, t.i AS pos FROM s1),
 bad AS (SELECT * FROM s2 WHERE NOT {_NOISE} AND NOT (pos > 1 AND regexp_matches(word, '^[A-Z]') AND NOT loud) AND lw NOT IN ({_list([*DICTIONARY, *SLANG])}) AND regexp_replace(lw, '''s$', '') NOT IN ({_list([*DICTIONARY, *SLANG])}))"""
 _add("misspellings_totals", lexical.misspellings_totals, f"SELECT c AS words_checked, b AS misspelled_total, u AS unique_words, {_ratio('1000 * b', 'c', 2)} AS rate FROM (SELECT (SELECT count(*) FROM s2) AS c, (SELECT count(*) FROM bad) AS b, (SELECT count(DISTINCT lw) FROM bad) AS u)", more=_SPELL)
@@ -147,22 +152,69 @@ _add("wrapped_card", lambda m: search.wrapped(m, 2024).select("year", "total", "
 
 # claims
 _PCT = "pct AS (SELECT msg_id, c.i - 1 AS claim_no, CAST(c.x AS DOUBLE) AS value FROM (SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '([0-9]+)% of', 1), lambda x, i: {'x': x, 'i': i})) AS c FROM msgs) WHERE CAST(c.x AS DOUBLE) <= 100)"
-_FACTS = "facts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(f[0])}, {_q(f[1])}, {f[2]}::DOUBLE, [{_list(f[4].split(','))}], {_q(f[5])})" for i, f in enumerate(claims.FACTS)) + ") t(ord, id, kind, value, tags, pack))"
-_with_facts = lambda f: lambda m: f(m, claims.facts(m.sparkSession))
 _add("percent_claims_simple", claims.percent_claims, "SELECT * FROM pct", more=_PCT)
 _add("one_in_n_claims", claims.one_in_n, "SELECT msg_id, i - 1 AS claim_no, 100 * a / b AS value FROM (SELECT msg_id, c.i AS i, CAST(regexp_extract(c.x, '^([0-9]+)', 1) AS DOUBLE) AS a, CAST(regexp_extract(c.x, '([0-9]+)$', 1) AS DOUBLE) AS b FROM (SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '([0-9]+) (?:in|out of) [0-9]+'), lambda x, i: {'x': x, 'i': i})) AS c FROM msgs)) WHERE a > 0 AND a <= b")
 _add("vague_quantifiers", claims.vague_quantifiers, "SELECT msg_id, phrase, point, lo, hi FROM msgs JOIN (VALUES " + ", ".join(f"({_q(v[1])}, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for v in claims.VAGUE) + ") t(phrase, point, lo, hi) ON regexp_matches(lower(text), '(^|[^a-z])' || phrase || '([^a-z]|$)')")
-_add("fact_nearest_match", _with_facts(lambda m, f: claims.nearest_facts(claims.percent_claims(m).withColumn("kind", F.lit("percent")), f)), "SELECT msg_id, claim_no, value, rank, fact_id, gap FROM (SELECT msg_id, claim_no, p.value, f.id AS fact_id, abs(p.value - f.value) AS gap, row_number() OVER (PARTITION BY msg_id, claim_no ORDER BY abs(p.value - f.value) > 6, abs(p.value - f.value), f.id) AS rank FROM pct p, facts f WHERE f.kind = 'percent') WHERE rank <= 2", more=f"{_PCT}, {_FACTS}")
-_add("fact_coincidences", _with_facts(lambda m, f: claims.coincidences(f)), "SELECT a.id AS one, b.id AS other FROM facts a JOIN facts b ON a.ord < b.ord WHERE a.kind = 'percent' AND b.kind = 'percent' AND abs(a.value - b.value) <= 2.5 AND NOT list_has_any(list_filter(a.tags, lambda x: x <> 'us'), list_filter(b.tags, lambda x: x <> 'us')) AND NOT list_contains(a.tags, 'health') AND NOT list_contains(b.tags, 'health')", more=_FACTS)
-_TOPIC = "topic AS (SELECT msg_id, arg_min(ord, ord)::BIGINT AS topic, arg_min(fact_id, ord) AS fact_id FROM msgs JOIN (VALUES " + ", ".join(f"({o}, {_q(p)}, {_q(f)})" for o, p, f in claims.TOPICS) + ") t(ord, pattern, fact_id) ON regexp_matches(lower(text), pattern) GROUP BY msg_id)"
-_add("topic_first_match", claims.topic_of, "SELECT * FROM topic", more=_TOPIC)
-_SENTS = "sents AS (SELECT msg_id, c.i - 1 AS sentence_no, lower(c.x) AS s FROM (SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x, i: {'x': x, 'i': i})) AS c FROM msgs))"
-_add("myth_sentences", claims.myths_in, "SELECT msg_id, sentence_no, CASE WHEN regexp_matches(s, 'vaccin') AND regexp_matches(s, 'bad') THEN 'bad_vaccines' ELSE 'flat_earth' END AS myth FROM sents WHERE (regexp_matches(s, 'vaccin') AND regexp_matches(s, 'bad')) OR (regexp_matches(s, 'earth') AND regexp_matches(s, 'flat'))", more=_SENTS)
-_add("appeal_detect", claims.appeals_in, "SELECT msg_id, sentence_no, arg_min(name, ord) AS appeal FROM sents JOIN (VALUES " + ", ".join(f"({o}, {_q(n)}, {_q(p)})" for o, n, p in claims.APPEALS) + ") t(ord, name, pattern) ON regexp_matches(s, pattern) GROUP BY 1, 2", more=_SENTS)
-_add("fact_verdict_bands", _with_facts(claims.verdicts), "SELECT msg_id, claim_no, pct.value, fact_id, CASE WHEN abs(pct.value - f.value) <= 3 THEN 'fair' WHEN abs(pct.value - f.value) <= 10 THEN 'close' ELSE 'off' END AS verdict FROM pct JOIN topic USING (msg_id) JOIN facts f ON f.id = fact_id", more=f"{_PCT}, {_TOPIC}, {_FACTS}")
-_add("pack_counts", _with_facts(lambda m, f: claims.pack_counts(f)), "SELECT pack, count(*) AS facts FROM facts GROUP BY pack", more=_FACTS)
-# tested on hand-made texts; the patterns look ahead, which the SQL engine can't
-_add("claims_extracted", lambda m: extract.extract_claims(m).select("msg_id", "start", "kind", "value", "quantifier", "core", "subject"))
+
+# Claims stand in sentences that ids choose (sources/driver_tables.CLAIMS), so SQL says what each sentence claims, not how it is found.
+_PACKS = ("money", "sports")
+
+
+def _book(f):
+    return lambda m: f(m, packs.open_book(m.sparkSession, enabled=_PACKS))
+
+
+def _own(name: str) -> dict:
+    return json.loads((resources.files("palaver") / "packs" / f"{name}.json").read_text(encoding="utf-8"))
+
+
+def _fact_rows() -> str:
+    seen: dict[str, tuple] = {}
+    for pack in ("core", *_PACKS):
+        for f in _own(pack)["facts"]:
+            seen.setdefault(f["id"], (pack, f))
+    return ", ".join(f"({i}, {_q(f['id'])}, {_q(f['kind'])}, {f['value']}::DOUBLE, [{_list(f['tags'])}], {_q(pack)}, {_q(f['statement'])}, {_q(f['source'])}, {f['year']}, {_q(f['short'])})" for i, (pack, f) in enumerate(seen.values()))
+
+
+# sentence, kind, value, low, high, checking fact, core, subject, start
+_SAID = """(VALUES (0, 'percent', 'smartphone-us', NULL, NULL), (1, 'percent', NULL, NULL, NULL), (2, 'percent', 'cities-world', NULL, NULL), (3, 'percent', NULL, NULL, NULL), (5, 'percent', 'tattoo-us', NULL, NULL), (6, 'change', NULL, NULL, NULL),
+  (7, 'ratio', NULL, NULL, NULL), (9, 'percent', 'coffee-us', 50.5, 100.0), (10, 'percent', 'obese-us', NULL, NULL), (11, 'percent', 'read-us', 0.0, 1.0), (12, 'change', NULL, NULL, NULL), (15, 'percent', 'smoke-us', 0.0, 5.0)) s(t, kind, fact, lo, hi)"""
+_VALUE = "CAST(CASE t WHEN 6 THEN v + 2 WHEN 7 THEN v + 2 WHEN 9 THEN 65 WHEN 10 THEN round(100.0::DOUBLE / (v % 9 + 2), 1) WHEN 11 THEN 1 WHEN 12 THEN round(100.0::DOUBLE * ((v % 20 + 10) - (v % 30 + 31)) / (v % 30 + 31), 1) WHEN 15 THEN 3 ELSE v END AS DOUBLE)"
+_CLAIMED = f"""facts AS (SELECT * FROM (VALUES {_fact_rows()}) f(ord, id, kind, value, tags, pack, statement, source, year, short)),
+claimed AS (SELECT msg_id, t, v, s.kind, {_VALUE} AS value, lo, hi, fact, CASE t WHEN 5 THEN 13 WHEN 6 THEN 11 WHEN 7 THEN 6 WHEN 9 THEN 10 WHEN 12 THEN 8 ELSE 0 END AS start FROM msgs JOIN {_SAID} USING (t)),
+claimed_out AS (SELECT * FROM claimed WHERE NOT (t = 6 AND v + 2 = 0)),
+checked AS (SELECT c.*, f.id AS fact_id, f.value AS real, round(c.value - f.value, 1) AS delta, CASE WHEN f.id IS NULL THEN NULL WHEN lo IS NOT NULL THEN CASE WHEN f.value BETWEEN lo AND hi THEN 'fair' ELSE 'off' END WHEN abs(round(c.value - f.value, 1)) <= 3 THEN 'fair' WHEN abs(round(c.value - f.value, 1)) <= 10 THEN 'close' ELSE 'off' END AS verdict FROM claimed_out c LEFT JOIN facts f ON f.id = c.fact),
+sized AS (SELECT *, CASE WHEN kind = 'change' THEN greatest(greatest(1 + value / 100, 0.01), 1 / greatest(1 + value / 100, 0.01)) ELSE value END AS size, CASE WHEN kind = 'percent' THEN 'percent' ELSE 'ratio' END AS class, CASE WHEN kind <> 'percent' THEN 5 WHEN lo IS NOT NULL THEN 12 ELSE 6 END AS tol FROM checked),
+gaps AS (SELECT s.*, f.id AS other_id, f.value AS other, f.ord, f.pack, f.statement, f.source, f.year, f.short, CASE WHEN class = 'percent' THEN abs(size - f.value) ELSE 10 * abs(ln(size) - ln(f.value)) END AS gap FROM sized s JOIN facts f ON f.kind = s.class),
+met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY gap > tol, gap, ord) AS rank FROM gaps) WHERE rank <= 2 AND (fact_id IS NULL OR fact_id <> other_id))"""
+_claims = lambda m: extract.extract_claims(m)
+_add("claims_extracted", lambda m: _claims(m).select("msg_id", "start", "kind", "value", "quantifier", "lo", "hi"), "SELECT msg_id, start, kind, value, CASE WHEN lo IS NULL THEN 'exact' ELSE 'vague' END AS quantifier, lo, hi FROM (SELECT msg_id, start, kind, value, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM claimed_out UNION ALL SELECT msg_id, 13, 'percent', 10, NULL, NULL FROM msgs WHERE t = 4)", base=CLAIMS_SQL, more=_CLAIMED)
+_add("claim_verdicts", _book(lambda m, b: verdicts.check(_claims(m), b).where("verdict is not null").select("msg_id", "start", "value", "fact_id", "real", "delta", "verdict")), "SELECT msg_id, start, value, fact_id, real, delta, verdict FROM checked WHERE verdict IS NOT NULL", base=CLAIMS_SQL, more=_CLAIMED)
+_add("fact_verdict_bands", _book(lambda m, b: verdicts.check(_claims(m), b).where("lo is not null and verdict is not null").select("msg_id", "lo", "hi", "real", "verdict")), "SELECT msg_id, lo::DOUBLE AS lo, hi::DOUBLE AS hi, real, verdict FROM checked WHERE lo IS NOT NULL", base=CLAIMS_SQL, more=_CLAIMED)
+_add("fact_nearest_match", _book(lambda m, b: verdicts.parallels(_claims(m).where("kind <> 'percent'"), b).select("msg_id", "value", "rank", F.col("other_id").alias("fact_id"), F.round("gap", 6).alias("gap"))), "SELECT msg_id, value, rank, other_id AS fact_id, round(gap, 6) AS gap FROM met WHERE kind <> 'percent'", base=CLAIMS_SQL, more=_CLAIMED)
+_ANSWERS = """SELECT msg_id, 'myth' AS part, 0 AS no, CASE t WHEN 4 THEN 'ten-percent-brain' ELSE 'flat-earth' END AS fact_id, NULL AS kind, NULL::DOUBLE AS value, NULL::DOUBLE AS real, NULL::DOUBLE AS gap, 'myth' AS verdict FROM msgs WHERE t IN (4, 8)
+  UNION ALL SELECT msg_id, 'appeal', CASE t WHEN 5 THEN 1 ELSE 3 END, NULL, CASE t WHEN 5 THEN 'authority' ELSE 'count' END, NULL, NULL, NULL, 'ask' FROM msgs WHERE t IN (5, 14)
+  UNION ALL SELECT msg_id, 'check', 0, fact_id, kind, value, real, abs(delta), verdict FROM checked WHERE verdict IS NOT NULL
+  UNION ALL SELECT msg_id, 'parallel', row_number() OVER (PARTITION BY msg_id ORDER BY rank) - 1, other_id, kind, value, other, round(gap, 2), NULL FROM met"""
+_add("analyse", _book(lambda m, b: verdicts.analyse(m, b).select("msg_id", "part", F.col("no").cast("long").alias("no"), "fact_id", "kind", "value", "real", "gap", "verdict")), _ANSWERS, base=CLAIMS_SQL, more=_CLAIMED)
+_add("check_lines", _book(lambda m, b: verdicts.check(_claims(m), b).where("verdict is not null").select("msg_id", "title", "line")), """SELECT msg_id, CASE WHEN lo IS NOT NULL THEN CASE verdict WHEN 'fair' THEN 'Fair enough.' ELSE 'Not really.' END WHEN verdict = 'fair' THEN 'That checks out.' WHEN verdict = 'close' THEN 'Close, but ' || way || '.' ELSE 'Not quite.' END AS title,
+  statement || CASE WHEN lo IS NOT NULL THEN ', so “' || CASE t WHEN 9 THEN 'most people' WHEN 11 THEN 'nobody' ELSE 'hardly anyone' END || '” ' || CASE WHEN verdict = 'fair' THEN 'holds up.' WHEN real > hi THEN 'is too low.' ELSE 'is too high.' END
+    ELSE '. You said ' || printf('%g', value) || '%' || CASE WHEN verdict = 'fair' THEN ', which is fair.' ELSE ': ' || printf('%g', abs(delta)) || CASE WHEN abs(delta) = 1 THEN ' point ' ELSE ' points ' END || way || '.' END END AS line
+  FROM (SELECT c.*, f.statement, CASE WHEN delta > 0 THEN 'high' ELSE 'low' END AS way FROM checked c JOIN facts f ON f.id = c.fact_id)""", base=CLAIMS_SQL, more=_CLAIMED)
+# the pools of the house voice, as the packs hold them; a line's place comes from a hash of claim and fact
+_HOUSE = _own("voices/house")
+_PICK = lambda salt, n: f"(('0x' || left(md5(key || '|' || other_id || '|{salt}'), 8))::BIGINT % {n})"
+_POOL = lambda lists: f"[{_list(x for k in lists for x in _HOUSE[k])}][1 + {_PICK(1, sum(len(_HOUSE[k]) for k in lists))}]"
+_FILL = "template"
+for _k, _v in (("fact_lc", "CASE WHEN regexp_matches(statement, '^(Russia|Jupiter|Everest|NBA) ') THEN statement ELSE lower(statement[1]) || statement[2:] END"), ("fact_v", "printf('%g', other)"), ("fact", "statement"), ("short", "short"), ("subject_or_that", "CASE WHEN subject = '' THEN 'that' ELSE '''' || subject || '''' END"), ("subject", "CASE WHEN subject = '' THEN 'your claim' ELSE subject END"), ("gap", "printf('%g', round(gap, 1)) || CASE WHEN round(gap, 1) = 1 THEN ' point' ELSE ' points' END"), ("claim_v", "printf('%g', value)")):
+    _FILL = f"replace({_FILL}, '{{{_k}}}', {_v})"
+_add("render_lines", _book(lambda m, b: verdicts.render(verdicts.parallels(verdicts.checked_claims(m, b, ["msg_id"]).drop("line", "source", "year"), b), b).select("msg_id", F.col("other_id").alias("fact_id"), F.col("line_1").alias("line"), "source_line")), f"""SELECT msg_id, other_id AS fact_id, {_FILL} AS line, 'Source: ' || source || ', ' || year || '.' AS source_line FROM (SELECT *, CASE WHEN kind <> 'percent' THEN {_POOL(['ratio'])} WHEN gap <= 3 THEN {_POOL(['percent', 'percent_close'])} ELSE {_POOL(['percent'])} END AS template
+  FROM (SELECT *, left(sha1(kind || '|' || printf('%.1f', value) || '|' || left(lower(subject), 40)), 12) AS key FROM (SELECT *, CASE t WHEN 0 THEN 'Americans own a smartphone' WHEN 1 THEN 'people don''t drink alcohol' WHEN 2 THEN 'world lives in cities' WHEN 3 THEN 'Brits drink wine' WHEN 5 THEN 'adults have a tattoo' WHEN 6 THEN 'last year' WHEN 7 THEN '' WHEN 9 THEN 'people drink coffee' WHEN 10 THEN 'adults are obese' WHEN 11 THEN 'nobody reads books' WHEN 12 THEN 'again' WHEN 15 THEN 'anyone smokes' END AS subject FROM met)))""", base=CLAIMS_SQL, more=_CLAIMED)
+_add("fact_coincidences", _book(lambda m, b: claims.coincidences(b, verdicts.checked_claims(m, b, ["msg_id"]).drop("line", "source", "year"))), "SELECT a.id AS one, b.id AS other, round(abs(a.value - b.value), 2) AS gap, (SELECT count(*) FROM met WHERE other_id = a.id) AS n_one, (SELECT count(*) FROM met WHERE other_id = b.id) AS n_other FROM facts a JOIN facts b ON a.ord < b.ord WHERE a.kind = 'percent' AND b.kind = 'percent' AND abs(a.value - b.value) <= 2.5 AND NOT list_has_any(list_filter(a.tags, lambda x: x <> 'us'), list_filter(b.tags, lambda x: x <> 'us')) AND NOT list_contains(a.tags, 'health') AND NOT list_contains(b.tags, 'health')", base=CLAIMS_SQL, more=_CLAIMED)
+_add("pack_counts", _book(lambda m, b: claims.pack_counts(packs.packs(m.sparkSession, enabled=_PACKS, locked=["sports"]), b, verdicts.check(_claims(m), b))), f"SELECT p.pack, p.facts, p.pack = 'core' AS always_on, p.pack = 'sports' AS locked, p.pack <> 'sports' AS enabled, (SELECT count(*) FROM checked c JOIN facts f ON f.id = c.fact_id WHERE f.pack = p.pack) AS checks FROM (VALUES {', '.join(f'({_q(x)}, {len(_own(x)['facts'])})' for x in ('core', *_PACKS))}) p(pack, facts)", base=CLAIMS_SQL, more=_CLAIMED)
+_add("topic_first_match", _book(lambda m, b: claims.topics_in(_claims(m), b)), f"SELECT msg_id, start, CASE t {' '.join(f'WHEN {t} THEN {n}' for t, n in ((0, 0), (1, 3), (2, 13), (3, 3), (5, 4), (9, 2), (10, 5), (11, 15), (15, 6)))} END AS topic FROM claimed_out WHERE t NOT IN (6, 7, 12)", base=CLAIMS_SQL, more=_CLAIMED)
+_add("myth_sentences", _book(claims.myths_in), "SELECT msg_id, 0 AS start, CASE t WHEN 4 THEN 31 ELSE 38 END AS \"end\", CASE t WHEN 4 THEN 'ten-percent-brain' ELSE 'flat-earth' END AS myth FROM msgs WHERE t IN (4, 8)", base=CLAIMS_SQL)
+_add("appeal_detect", claims.appeals_in, "SELECT msg_id, CASE t WHEN 5 THEN 'authority' WHEN 8 THEN 'popularity' ELSE 'count' END AS appeal, 0 AS start, regexp_extract(text, '^[^.]*') AS said FROM msgs WHERE t IN (5, 8, 14)", base=CLAIMS_SQL)
 
 # source decoding, over events as rows of an export
 _add("alias_pick", decode.demo_alias, "SELECT msg_id, coalesce(nullif(CASE WHEN msg_id % 3 = 0 THEN text END, ''), nullif(contact, '')) AS value, CASE WHEN msg_id % 3 = 0 AND text <> '' THEN 'body' ELSE 'message' END AS alias FROM msgs")

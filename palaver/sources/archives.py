@@ -14,6 +14,8 @@ from . import decode
 
 # Bounds of an archive.
 MOST_MEMBERS, MOST_BYTES, MOST_MEMBER_BYTES, MOST_GROWTH, GROWTH_FREE = 50_000, 512 << 20, 64 << 20, 50, 32 << 20
+# Bytes of an archive's index for each member, and what is free besides.
+INDEX_BYTES, INDEX_FREE = 250, 64 << 10
 
 
 def _unzip(contains: str):
@@ -22,6 +24,9 @@ def _unzip(contains: str):
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     infos = z.infolist()
+                    # an index of many bytes a member is made to cost memory
+                    if len(content) > INDEX_FREE and z.start_dir < len(content) - INDEX_FREE - INDEX_BYTES * max(1, len(infos)):
+                        raise ValueError(f"archive {path} exceeds its bounds")
                     size = sum(i.file_size for i in infos)
                     if len(infos) > MOST_MEMBERS or size > MOST_BYTES or (size > GROWTH_FREE and size > MOST_GROWTH * len(content)):
                         raise ValueError(f"archive {path} exceeds its bounds")
@@ -68,21 +73,41 @@ def json_by_contact(spark: SparkSession, path: str, self_name: str) -> DataFrame
     return decode.generic(low.select(*[(F.coalesce(value(n), F.col("key")) if n == "contact" else value(n)).alias(n) for n in dict.fromkeys(names)]), self_name, "json")
 
 
-def guess_format(name: Column, head: Column) -> Column:
-    """From a file's name and the first 8 KB: database, archive, markup, known keys, then the name."""
+def guess_format(name: Column, head: Column, inside: Column | None = None) -> Column:
+    """From a file's name and the first 8 KB: database, archive (by the names inside), markup, known keys, then the name."""
+    inside = F.lit("") if inside is None else F.lower(inside)
+    holds = lambda *parts: [F.contains(inside, F.lit(x)) for x in parts]
+    result, chats_, thread_, inbox, channel, folders = holds("result.json", "chats", "message_1.json", "/inbox/", "channel.json", "/messages/c")
+    packed = F.when(result | (chats_ & F.contains(F.lower(name), F.lit("telegram"))), "telegram").when(thread_ | inbox, "meta").when(channel | folders, "discord")
     text, low = F.try_validate_utf8(head.cast("string")), F.lower(name)
     has = lambda *keys: [F.contains(head.cast("string"), F.lit(f'"{k}"')) for k in keys]
     start = F.ltrim(F.regexp_replace(F.coalesce(text, F.lit("")), "^﻿", ""))
-    thread, chats, sent = has("participants", "chats", "Contents")
-    (single,) = has("from_id")
+    entities, single, person, sender, thread, contents, stamp = has("text_entities", "from_id", "personal_information", "sender_name", "participants", "Contents", "Timestamp")
     return (
-        F.when(F.left(head.cast("string"), F.lit(15)) == "SQLite format 3", "imessage").when(F.startswith(F.hex(head), F.lit("504B0304")), "zip").when(start.startswith("<"), "sms")
-        .when(start.rlike(r"^[\[{]"), F.when(thread, "meta").when(chats | single, "telegram").when(sent, "discord").otherwise("json"))
+        F.when(F.left(head.cast("string"), F.lit(15)) == "SQLite format 3", "imessage").when(F.startswith(F.hex(head), F.lit("504B0304")), packed).when(start.startswith("<"), "sms")
+        .when(start.rlike(r"^[\[{]"), F.when(entities | single | person, "telegram").when(sender | thread, "meta").when(contents & stamp, "discord").otherwise("json"))
         .when(low.endswith(".csv"), "csv").when(low.endswith(".txt") | start.rlike(r"(?m)^\[?\d{1,4}[./-]\d{1,2}[./-]\d{1,4},? \d{1,2}:\d{2}"), "whatsapp")
     )
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
     """path and format of each file; null where nothing fits."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", guess_format(F.col("path"), F.substring("content", 1, 8192)).alias("format"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    named = files.mapInPandas(_names_inside, "path string, head binary, inside string")
+    return named.select("path", guess_format(F.regexp_extract("path", "[^/]*$", 0), F.col("head"), F.col("inside")).alias("format"))
+
+
+def _names_inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first 8 KB of each file, and of archives the names of their members, as an archive's index stands at its end."""
+    for frame in frames:
+        inside = []
+        for content in frame["content"]:
+            names = ""
+            if content[:4] == b"PK\x03\x04":
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        names = " ".join(i.filename for i in z.infolist()[:MOST_MEMBERS])
+                except zipfile.BadZipFile:
+                    pass
+            inside.append(names)
+        yield pd.DataFrame({"path": frame["path"], "head": [c[:8192] for c in frame["content"]], "inside": inside})

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # Header names that exports use for each field.
 ALIASES = {
-    "contact": ["contact", "chat", "chat_name", "conversation", "thread", "name"], "sender": ["sender", "from", "author", "sender_name"], "direction": ["direction", "type", "msg_box", "is_sent", "is_from_me"],
-    "timestamp": ["timestamp", "date", "time", "datetime", "sent_at", "created_at"], "text": ["text", "message", "body", "content", "msg"],
+    "contact": ["contact", "chat", "conversation", "thread", "name", "chat_name"], "sender": ["sender", "author", "from"], "direction": ["direction", "type", "msg_box", "is_from_me", "isfromme", "outgoing", "sent"],
+    "timestamp": ["timestamp", "date", "time", "datetime", "ts", "date_sent", "created_at"], "text": ["text", "body", "message", "content", "msg"],
 }
 SENT_WORDS, RECEIVED_WORDS = ("sent", "outgoing", "out", "me", "true", "yes", "1"), ("received", "incoming", "in", "them", "false", "no", "0")
-FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm:ss"]
+# Formats that are tried after ISO, in this order; those with dots and seconds are further ones.
+FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yy H:mm", "d/M/yyyy H:mm", "yyyy-M-d H:mm", "yyyy-M-d H:mm:ss", "MMM d, yyyy h:mm a", "MMMM d, yyyy 'at' h:mm a", "d/M/yyyy H:mm:ss", "M/d/yyyy H:mm:ss", "yyyy/M/d H:mm:ss"]
 BIDI = "[‎‏‪-‮⁦-⁩؜]"
 
 
@@ -38,7 +39,8 @@ def direction(value: Column, alias: Column, sender: Column, self_name: str) -> C
 
 def timestamp(value: Column, zone: str = "UTC") -> Column:
     """Epoch seconds or milliseconds (over 1e11), ISO, then further formats; instants become wall clock of `zone`, which stays naive."""
-    v = F.trim(value)
+    # two-digit years from 69 on are of the last century
+    v = F.regexp_replace(F.trim(value), r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d) ", "${1}19$2 ")
     n = v.try_cast("double")
     instant = F.when(n > 1e11, F.timestamp_millis(n.cast("long"))).when(n.isNotNull(), F.timestamp_seconds(n))
     offset = v.rlike(r"[Tt ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")

@@ -16,6 +16,14 @@ PHRASES = [
     "Nobody likes a broken lamp, what a terrible mess.", "Few people cook every day.", "Thanks 👍🏽 that helps", "Beautiful weather, nice walk, good food.",
 ]
 
+#: Sentences with figures, one for each message of a conversation; {v} is 0..100, {w} is v + 2, {n} is 2..10, {a} and {b} are 10..29 and 31..60.
+CLAIMS = [
+    "{v}% of Americans own a smartphone.", "{v}% of people don't drink alcohol.", "{v}% of the world lives in cities.", "{v}% of Brits drink wine.",
+    "You only use 10% of your brain.", "Studies show {v}% of adults have a tattoo.", "Crime went up {w}% last year.", "It is {w} times faster, they say.",
+    "Everyone knows that the earth is flat.", "Honestly, most people drink coffee.", "1 in {n} adults are obese.", "nobody reads books.",
+    "It fell from {b}% to {a}% again.", "I am 100% sure about it.", "Millions of people have no electricity.", "Hardly anyone smokes.",
+]
+
 COLUMNS = ["msg_id", "contact", "sender", "direction", "ts", "text", "source"]
 
 
@@ -39,6 +47,17 @@ def messages_from_conversations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def messages_with_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of conversations, each with a sentence of CLAIMS before its own text; ids, turns and lengths choose it and its figures."""
+    m = messages_from_conversations(spark, d)
+    conv, turn = F.expr("msg_id div 1000"), F.col("msg_id") % 1000
+    v = (conv * 13 + turn * 29 + F.length("text")) % 101
+    text = F.get(F.array(*map(F.lit, CLAIMS)), ((conv * 7 + turn * 3) % len(CLAIMS)).cast("int"))
+    for name, value in (("v", v), ("w", v + 2), ("n", v % 9 + 2), ("a", v % 20 + 10), ("b", v % 30 + 31)):
+        text = F.replace(text, F.lit(f"{{{name}}}"), value.cast("string"))
+    return m.withColumn("text", F.concat(text, F.lit("\n"), F.col("text")))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -55,3 +74,8 @@ CONVERSATIONS_SQL = """msgs AS (
          CASE WHEN role = 'user' THEN 'sent' ELSE 'received' END AS direction,
          TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts, coalesce(text, '') AS text, 'conversations' AS source
   FROM conversations)"""
+
+#: As messages_with_claims, with t (the sentence) and v besides.
+CLAIMS_SQL = f"""talk AS (SELECT *, CASE WHEN role = 'user' THEN 'me' ELSE role END AS sender, coalesce(text, '') AS own, conv_id * 1000 + turn AS msg_id, (conv_id * 7 + turn * 3) % {len(CLAIMS)} AS t, (conv_id * 13 + turn * 29 + length(coalesce(text, ''))) % 101 AS v FROM conversations),
+msgs AS (SELECT msg_id, 'conv_' || conv_id AS contact, sender, CASE WHEN role = 'user' THEN 'sent' ELSE 'received' END AS direction, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts,
+  replace(replace(replace(replace(replace(([{", ".join(map(_quoted, CLAIMS))}])[t + 1], '{{v}}', v::VARCHAR), '{{w}}', (v + 2)::VARCHAR), '{{n}}', (v % 9 + 2)::VARCHAR), '{{a}}', (v % 20 + 10)::VARCHAR), '{{b}}', (v % 30 + 31)::VARCHAR) || chr(10) || own AS text, 'conversations' AS source, t, v FROM talk)"""
