@@ -57,10 +57,14 @@ def runs(adj: DataFrame) -> DataFrame:
     return adj.groupBy("contact", "conv_no", "run_no").agg(F.first("direction").alias("direction"), F.count("*").alias("n"))
 
 
-def _replies(adj: DataFrame, max_gap_hours: int):
+def _reply_gaps(max_gap_hours: int):
+    """The time until a change of direction, by who answers."""
     reply = (F.col("direction") != F.col("prev_dir")) & (F.col("gap") <= max_gap_hours * 3_600_000_000)
-    you = F.when(reply & (F.col("direction") == "sent"), F.col("gap"))
-    them = F.when(reply & (F.col("direction") == "received"), F.col("gap"))
+    return [F.when(reply & (F.col("direction") == way), F.col("gap")) for way in ("sent", "received")]
+
+
+def _replies(adj: DataFrame, max_gap_hours: int):
+    you, them = _reply_gaps(max_gap_hours)
     return [F.median(you).alias("you_micros"), F.median(them).alias("them_micros"), F.count(you).alias("you_n"), F.count(them).alias("them_n")]
 
 
@@ -74,20 +78,49 @@ def reply_latency_by_contact(adj: DataFrame, max_gap_hours: int = 12) -> DataFra
 
 
 def conversation_health(adj: DataFrame, max_gap_hours: int = 12) -> DataFrame:
-    """Per contact: who opens and closes, double texts (runs of two and more), silence, reply times."""
-    conv = split_conversations(adj).groupBy("contact").agg(
-        F.count("*").alias("conversations"), F.sum("n").alias("messages"), F.count_if(F.col("opened") == "sent").alias("you_opened"), F.count_if(F.col("closed") == "sent").alias("you_closed")
-    )
-    twice = lambda who: F.count_if((F.col("direction") == who) & (F.col("n") >= 2))
-    double = runs(adj).groupBy("contact").agg(twice("sent").alias("your_double_texts"), twice("received").alias("their_double_texts"))
-    rest = adj.groupBy("contact").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("silence_micros"), *_replies(adj, max_gap_hours))
-    out = conv.join(double, "contact").join(rest, "contact")
+    """Per contact: who opens and closes, double texts (runs of two and more), silence, reply times.
+
+    Everything is summed up by run, then by contact. A reply is the first message of
+    a run; what stands before a new conversation closed the last one.
+    """
+    you, them = _reply_gaps(max_gap_hours)
+    new = F.col("new_conv") == 1
+    by_run = adj.groupBy("contact", "run_no").agg(
+        F.count("*").alias("n"), F.first("direction").alias("direction"), F.max("new_conv").alias("new_conv"), F.max(F.when(new, F.col("prev_dir"))).alias("closed"),
+        F.max("gap").alias("gap"), F.max(you).alias("you"), F.max(them).alias("them"), F.max(F.struct("ts", "msg_id", "direction")).alias("last"),
+    )
+    mine = F.col("direction") == "sent"
+    out = by_run.groupBy("contact").agg(
+        F.sum("new_conv").alias("conversations"), F.sum("n").alias("messages"), F.count_if(new & mine).alias("you_opened"), (F.count_if(F.col("closed") == "sent") + (F.max("last")["direction"] == "sent").cast("long")).alias("you_closed"),
+        F.count_if(mine & (F.col("n") >= 2)).alias("your_double_texts"), F.count_if(~mine & (F.col("n") >= 2)).alias("their_double_texts"), F.coalesce(F.max("gap"), F.lit(0)).alias("silence_micros"),
+        F.median("you").alias("you_micros"), F.median("them").alias("them_micros"), F.count("you").alias("you_n"), F.count("them").alias("them_n"),
+    )
     return out.select(
         "contact", "conversations", "you_opened", ratio("you_opened", "conversations", 3).alias("you_opened_share"), "you_closed", ratio("you_closed", "conversations", 3).alias("you_closed_share"), "your_double_texts", "their_double_texts",
         ratio("messages", "conversations", 1).alias("avg_length"), ratio("silence_micros", F.lit(86_400_000_000), 1).alias("longest_silence_days"), "you_micros", "them_micros", "you_n", "them_n",
     )
 
 
+# Hours of silence that a view offers.
+GAPS = (1, 3, 6, 12, 24)
+
+
+def snap_gap(hours: float) -> int:
+    """The offered gap that is nearest, the smaller of two."""
+    return min(GAPS, key=lambda g: (abs(g - hours), g))
+
+
+def clamp_rows(limit: int, most: int = 200) -> int:
+    """A view's limit: 1 to 200 rows, to 500 in a search, to 5 parallels a claim."""
+    return max(1, min(most, limit))
+
+
+def conversation_view(m: DataFrame, gap_hours: float = 6, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Contacts with most conversations, and the summary, which counts them all whatever the limit."""
+    health = conversation_health(adjacency(m, snap_gap(gap_hours)))
+    return health.orderBy(F.desc("conversations"), "contact").limit(clamp_rows(limit)), conversation_summary(health)
+
+
 def conversation_summary(health: DataFrame, least: int = 5) -> DataFrame:
     """One row; reply times are medians of the contacts' medians, ghosted_by the contact you close most with, of those with enough conversations."""
     enough = F.col("conversations") >= least

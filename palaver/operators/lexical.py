@@ -12,7 +12,14 @@ from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
 BROADCAST_WORDS = 200_000
 
 
-def word_table(df: DataFrame, words: list[str], **columns) -> DataFrame:
+# Words of a view that are searched two edits away, and their longest.
+FAR_SEARCHES, FAR_LETTERS = 3, 12
+
+
+def word_table(df: DataFrame, words: list[str] | DataFrame, **columns) -> DataFrame:
+    """The words as a table (lw); a dictionary may be given as such a table and is then joined by a shuffle."""
+    if isinstance(words, DataFrame):
+        return words.select("lw").distinct().withColumns({k: F.lit(v) for k, v in columns.items()})
     t = df.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "lw string").withColumns({k: F.lit(v) for k, v in columns.items()})
     return F.broadcast(t) if len(words) <= BROADCAST_WORDS else t
 
@@ -48,19 +55,19 @@ def _checked(m: DataFrame, direction: str | None) -> DataFrame:
     return t.withColumn("looked_at", ~noise(F.col("lw")) & ~((F.col("pos") > 0) & F.col("word").rlike("^[A-Z]") & ~F.col("loud")))
 
 
-def misspelled(m: DataFrame, dictionary: list[str] = DICTIONARY, direction: str | None = "sent") -> DataFrame:
-    known = word_table(m, [*dictionary, *SLANG])
+def misspelled(m: DataFrame, dictionary: list[str] | DataFrame = DICTIONARY, direction: str | None = "sent") -> DataFrame:
+    known = word_table(m, dictionary).union(word_table(m, SLANG)) if isinstance(dictionary, DataFrame) else word_table(m, [*dictionary, *SLANG])
     t = _checked(m, direction).where("looked_at").withColumn("raw", F.col("lw"))
     t = t.join(known, "lw", "left_anti").withColumn("lw", F.regexp_replace("raw", "'s$", ""))
     return t.join(known, "lw", "left_anti").withColumn("lw", F.col("raw")).drop("raw")
 
 
-def misspellings_totals(m: DataFrame, dictionary: list[str] = DICTIONARY, direction: str | None = "sent") -> DataFrame:
+def misspellings_totals(m: DataFrame, dictionary: list[str] | DataFrame = DICTIONARY, direction: str | None = "sent") -> DataFrame:
     bad = misspelled(m, dictionary, direction).agg(F.count("*").alias("misspelled_total"), F.count_distinct("lw").alias("unique_words"))
     return _checked(m, direction).agg(F.count("*").alias("words_checked")).crossJoin(bad).select("words_checked", "misspelled_total", "unique_words", ratio(1000 * F.col("misspelled_total"), F.col("words_checked"), 2).alias("rate"))
 
 
-def suggestions(words: DataFrame, dictionary: list[str] = DICTIONARY) -> DataFrame:
+def suggestions(words: DataFrame, dictionary: list[str] | DataFrame = DICTIONARY) -> DataFrame:
     """The nearest dictionary word one edit away (or one swap of neighbours), by shared deletions rather than by all pairs."""
     deletions = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))))
     known = word_table(words, dictionary).select(F.col("lw").alias("suggestion"), F.explode(deletions("lw")).alias("key"))
@@ -70,13 +77,32 @@ def suggestions(words: DataFrame, dictionary: list[str] = DICTIONARY) -> DataFra
     return near.withColumn("d", d).where("d <= 1").groupBy("lw").agg(F.min("suggestion").alias("suggestion"))
 
 
-def misspellings_words(m: DataFrame, dictionary: list[str] = DICTIONARY, direction: str | None = "sent", limit: int = 50) -> DataFrame:
+def _swapped(word):
+    """All words with two neighbouring letters of a word swapped."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(1)), F.substr(word, i, F.lit(1)), F.substr(word, i + 2)))
+
+
+def far_suggestions(top: DataFrame, near: DataFrame, dictionary: list[str] | DataFrame = DICTIONARY) -> DataFrame:
+    """The nearest dictionary word two edits away (a swap is one), for the FAR_SEARCHES most frequent words of at most FAR_LETTERS letters without one that is nearer.
+
+    A few words meet the whole dictionary, so that it is read once and not indexed.
+    """
+    granted = top.join(near, "lw", "left_anti").where(F.length("lw") <= FAR_LETTERS).orderBy(F.desc("count"), "lw").limit(FAR_SEARCHES).select("lw")
+    known = word_table(top, dictionary).select(F.col("lw").alias("suggestion"))
+    word, other = F.col("lw"), F.col("suggestion")
+    close = (F.levenshtein(word, other) <= 2) | F.exists(_swapped(word), lambda v: (F.levenshtein(v, other) <= 1) | F.exists(_swapped(v), lambda x: x == other))
+    return known.join(F.broadcast(granted), (F.abs(F.length(word) - F.length(other)) <= 2) & close).groupBy("lw").agg(F.min("suggestion").alias("suggestion"))
+
+
+def misspellings_words(m: DataFrame, dictionary: list[str] | DataFrame = DICTIONARY, direction: str | None = "sent", limit: int = 50) -> DataFrame:
     bad = misspelled(m, dictionary, direction).groupBy("lw").agg(F.count("*").alias("count"), F.min_by(F.left("text", F.lit(140)), F.struct("ts", "msg_id", "s_no", "pos")).alias("example"))
     top = bad.orderBy(F.desc("count"), "lw").limit(limit)
-    return top.join(suggestions(top.select("lw"), dictionary), "lw", "left").select(F.col("lw").alias("word"), "count", "suggestion", "example")
+    near = suggestions(top.select("lw"), dictionary)
+    far = far_suggestions(top, near, dictionary)
+    return top.join(near.unionByName(far), "lw", "left").select(F.col("lw").alias("word"), "count", "suggestion", "example")
 
 
-def misspellings_by(m: DataFrame, key: str, dictionary: list[str] = DICTIONARY, direction: str | None = "sent") -> DataFrame:
+def misspellings_by(m: DataFrame, key: str, dictionary: list[str] | DataFrame = DICTIONARY, direction: str | None = "sent") -> DataFrame:
     n = misspelled(m, dictionary, direction).groupBy(key, "lw").agg(F.count("*").alias("n"))
     best = n.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "lw"))).groupBy(key).agg(F.sum("n").alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "lw")))), lambda x: x["lw"]), ",").alias("top_words"))
     return best
@@ -92,9 +118,9 @@ def emoji_totals(m: DataFrame) -> DataFrame:
     return found.crossJoin(emoji_rows(m).agg(F.count_distinct("emoji").alias("unique_emoji"))).select("total", "unique_emoji", "carriers", ratio("carriers", "n", 3).alias("share"))
 
 
-def emoji_top(m: DataFrame, limit: int = 30) -> DataFrame:
+def emoji_top(m: DataFrame, limit: int | None = 30) -> DataFrame:
     g = emoji_rows(m).groupBy("emoji").agg(F.count("*").alias("count"), F.count_if(F.col("direction") == "sent").alias("sent"), F.count_if(F.col("direction") == "received").alias("received"))
-    return g.orderBy(F.desc("count"), "emoji").limit(limit)
+    return g.orderBy(F.desc("count"), "emoji").limit(limit) if limit else g
 
 
 def emoji_by_contact(m: DataFrame) -> DataFrame:

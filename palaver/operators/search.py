@@ -92,25 +92,49 @@ def distinct_contacts(m: DataFrame) -> DataFrame:
     return m.select("contact").distinct()
 
 
+def of_contact(view, m: DataFrame, contact: str) -> DataFrame:
+    """A view of one contact's messages; of an unknown contact it has no rows, not even those that a dense view fills in."""
+    own = m.where(F.col("contact") == contact) if contact else m
+    return view(own).join(F.broadcast(own.select(F.lit(True).alias("_known")).limit(1)), F.lit(True), "left_semi")
+
+
 def status(m: DataFrame) -> DataFrame:
     return m.agg(F.count("*").alias("messages"), F.count_distinct("contact").alias("contacts"))
 
 
 def wrapped(m: DataFrame, year: int) -> DataFrame:
-    """One flat row about a year; the year is a range of ts."""
+    """One flat row about a year; the year is a range of ts. A year without messages is empty and all else null.
+
+    Totals come from one aggregate; hours, weekdays and days from counts by day and
+    hour, which Spark shuffles once for all of them.
+    """
     own = m.where((F.col("ts") >= F.lit(datetime(year, 1, 1)).cast("timestamp_ntz")) & (F.col("ts") < F.lit(datetime(year + 1, 1, 1)).cast("timestamp_ntz")))
+    written = F.sum(F.when(volume.sent() & ~is_media(F.col("text")), F.size(words_of(F.col("text")))))
+    span = F.datediff(F.max("ts"), F.min("ts")).cast("long") + 1
+    o = own.agg(F.count("*").alias("total"), F.count_if(volume.sent()).alias("sent"), F.count_if(volume.received()).alias("received"), F.count_distinct("contact").alias("people"), F.coalesce(span, F.lit(0)).alias("days"), F.count_if(F.hour("ts") < 5).alias("night_messages"), F.coalesce(written, F.lit(0)).cast("long").alias("words_written"))
+    o = o.select("total", "sent", "received", ratio("sent", "total", 3).alias("sent_share"), ratio("total", "days", 2).alias("per_day"), "people", "words_written", "night_messages", ratio("night_messages", "total", 3).alias("night_share"))
+    top = own.groupBy("contact").agg(F.count("*").alias("total"), F.count_if(volume.sent()).alias("sent"), F.min("ts").alias("first")).orderBy(F.desc("total"), "first", "contact").limit(2)
+    top = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("k"), "first", "contact", "total", "sent"))).alias("p"))
+    nth = lambda i, c: F.get("p", F.lit(i))[c]
+    people = top.select(nth(0, "contact").alias("top_contact"), nth(0, "total").alias("top_total"), nth(0, "sent").alias("top_sent"), nth(1, "contact").alias("runner_up"), nth(1, "total").alias("runner_up_total"))
+    cells = own.groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    most = lambda part, name: cells.groupBy(part.cast("long").alias("p")).agg(F.sum("n").alias("n")).agg(F.min_by("p", F.struct(-F.col("n"), "p")).alias(name))
+    by_day = cells.groupBy("day").agg(F.sum("n").alias("n"))
+    busiest = by_day.agg(F.max(F.struct("n", (-F.unix_date("day")).alias("d"))).alias("b")).select(F.date_from_unix_date((-F.col("b.d")).cast("int")).alias("busiest_day"), F.col("b.n").alias("busiest_count"))
     adj = C.adjacency(own)
-    o = volume.overview(own).select("total", "sent", "received", ratio("sent", "total", 3).alias("sent_share"), "per_day", F.col("contacts").alias("people"))
-    people = volume.contact_frequency(own, 2).agg(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("k"), "first", "contact"))).alias("p")).select(F.get("p", F.lit(0))["contact"].alias("top_contact"), F.get("p", F.lit(1))["contact"].alias("runner_up"))
-    written = own.where(volume.sent() & ~is_media(F.col("text"))).agg(F.coalesce(F.sum(F.size(words_of(F.col("text")))), F.lit(0)).cast("long").alias("words_written"))
     summary = C.conversation_summary(C.conversation_health(adj)).select("conversations", ratio("you_opened", "conversations", 3).alias("you_opened_share"))
     one = lambda df, **names: df.agg(*[F.first(c).alias(n) for c, n in names.items()])
-    parts = [people, written, volume.peaks(own), one(volume.busiest_day(own), day="busiest_day", n="busiest_count"), volume.night_share(own), C.reply_latency(adj).select("you_micros", "them_micros"), summary, one(volume.longest_streak(own), days="streak_days", start="streak_start")]
-    parts += [one(lexical.word_frequency(own, "sent", 1), word="top_word", count="top_word_count"), one(lexical.emoji_top(own, 1), emoji="top_emoji"), lexical.misspellings_totals(own).select(F.col("rate").alias("typo_rate")), lexical.tone(own).select("net")]
-    out = o.withColumn("year", F.lit(year).cast("long"))
+    # your own emoji come first; without any, everybody's count
+    emoji = lexical.emoji_top(own, None).orderBy(F.desc("sent"), F.when(F.col("sent") == 0, -F.col("count")), "emoji").limit(1)
+    bad = lexical.misspellings_totals(own).select(F.col("rate").alias("typo_rate"))
+    typo = lexical.misspelled(own).groupBy("lw").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lw").limit(1)
+    parts = [people, most(F.col("hour"), "peak_hour"), most(F.weekday("day"), "peak_weekday"), busiest, C.reply_latency(adj).select("you_micros", "them_micros"), summary, one(volume.streak_of(by_day.select("day")), days="streak_days", start="streak_start", end="streak_end")]
+    parts += [one(lexical.word_frequency(own, "sent", 1), word="top_word", count="top_word_count"), one(emoji, emoji="top_emoji"), one(typo, lw="top_typo"), bad, lexical.tone(own).select("net")]
+    out = o
     for p in parts:
         out = out.crossJoin(F.broadcast(p))  # each is one row
-    return out
+    empty = F.col("total") == 0
+    return out.select(F.lit(year).cast("long").alias("year"), empty.alias("empty"), *(F.when(~empty, F.col(c)).alias(c) for c in out.columns))
 
 
 def dashboard_overview(m: DataFrame) -> DataFrame:

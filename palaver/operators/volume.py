@@ -93,7 +93,11 @@ def hour_profile(m: DataFrame) -> DataFrame:
 
 def longest_streak(m: DataFrame) -> DataFrame:
     """The longest run of consecutive days, the earliest of equal ones. Days are few, so one window over them is."""
-    days = m.select(F.to_date("ts").alias("day")).distinct()
+    return streak_of(m.select(F.to_date("ts").alias("day")).distinct())
+
+
+def streak_of(days: DataFrame) -> DataFrame:
+    """As longest_streak, of distinct days."""
     island = days.withColumn("i", F.date_sub("day", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("day"))))
     return island.groupBy("i").agg(F.count("*").alias("days"), F.min("day").alias("start"), F.max("day").alias("end")).orderBy(F.desc("days"), "start").limit(1).select("days", "start", "end")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EMOJI, MEDIA, MEDIA_HINTS, STRETCHED, WORD
 from ..functions.words import DICTIONARY, NEGATIVE, POSITIVE, SLANG, STOPWORDS
-from ..operators import claims, conversations, extract, lexical, search, verdicts, volume
+from ..operators import claims, conversations, extract, lexical, recent, search, verdicts, volume
 from ..sources import decode, packs
 from ..sources.driver_tables import CLAIMS_SQL, CONVERSATIONS_SQL, EVENTS_SQL, messages_from_conversations, messages_from_events, messages_with_claims
 
@@ -112,8 +112,8 @@ _SPELL = f"""s0 AS (SELECT msg_id, contact, sender, ts, text, upper(text) = text
 s1 AS (SELECT msg_id, contact, sender, ts, text, loud, s.i AS s_no, unnest(list_transform({_WORDS.replace('(text,', '(s.x,')}, lambda x, i: {{'w': x, 'i': i}})) AS t FROM s0), s2 AS (SELECT *, t.w AS word, lower(t.w) AS lw, t.i AS pos FROM s1),
 bad AS (SELECT * FROM s2 WHERE NOT {_NOISE} AND NOT (pos > 1 AND regexp_matches(word, '^[A-Z]') AND NOT loud) AND lw NOT IN ({_list([*DICTIONARY, *SLANG])}) AND regexp_replace(lw, '''s$', '') NOT IN ({_list([*DICTIONARY, *SLANG])}))"""
 _add("misspellings_totals", lexical.misspellings_totals, f"SELECT c AS words_checked, b AS misspelled_total, u AS unique_words, {_ratio('1000 * b', 'c', 2)} AS rate FROM (SELECT (SELECT count(*) FROM s2) AS c, (SELECT count(*) FROM bad) AS b, (SELECT count(DISTINCT lw) FROM bad) AS u)", more=_SPELL)
-_add("misspellings_words", lexical.misspellings_words, f"""SELECT word, count, (SELECT min(d) FROM (SELECT unnest([{_list(sorted(set(DICTIONARY)))}]) AS d) WHERE damerau_levenshtein(word, d) <= 1) AS suggestion, example
-  FROM (SELECT lw AS word, count(*) AS count, arg_min(left(text, 140), row(ts, msg_id, s_no, pos)) AS example FROM bad GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)""", more=_SPELL)
+_add("misspellings_words", lexical.misspellings_words, f"""SELECT word, count, coalesce(near, CASE WHEN near IS NULL AND length(word) <= 12 AND count_if(near IS NULL AND length(word) <= 12) OVER (ORDER BY count DESC, word ROWS UNBOUNDED PRECEDING) <= 3 THEN (SELECT min(d) FROM (SELECT unnest([{_list(sorted(set(DICTIONARY)))}]) AS d) WHERE damerau_levenshtein(word, d) <= 2) END) AS suggestion, example FROM (SELECT word, count, (SELECT min(d) FROM (SELECT unnest([{_list(sorted(set(DICTIONARY)))}]) AS d) WHERE damerau_levenshtein(word, d) <= 1) AS near, example
+  FROM (SELECT lw AS word, count(*) AS count, arg_min(left(text, 140), row(ts, msg_id, s_no, pos)) AS example FROM bad GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50))""", more=_SPELL)
 for _k in ("contact", "sender"):
     _add(f"misspellings_by_{_k}", lambda m, k=_k: lexical.misspellings_by(m, k), f"SELECT {_k}, CAST(sum(n) AS BIGINT) AS count, string_agg(lw, ',' ORDER BY r) FILTER (r <= 5) AS top_words FROM (SELECT {_k}, lw, count(*) AS n, row_number() OVER (PARTITION BY {_k} ORDER BY count(*) DESC, lw) AS r FROM bad GROUP BY {_k}, lw) GROUP BY 1", more=_SPELL)
 _EMO = f"emo AS (SELECT msg_id, contact, direction, unnest(regexp_extract_all(text, {_q(EMOJI)})) AS emoji FROM msgs)"
@@ -145,10 +145,11 @@ _add("import_report", lambda m: search.import_report(_twice(m), search.identity_
 _add("distinct_contacts", search.distinct_contacts, "SELECT DISTINCT contact FROM msgs")
 _add("status", search.status, "SELECT count(*) AS messages, count(DISTINCT contact) AS contacts FROM msgs")
 _add("dashboard_overview", search.dashboard_overview, f"SELECT (SELECT count(*) FROM msgs) AS total, (SELECT count(DISTINCT contact) FROM msgs) AS contacts, (SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 FROM msgs) AS days, t.contact AS top_contact, t.total AS top_total, {_PEAK('hour(ts)')} AS peak_hour, {_PEAK('isodow(ts) - 1')} AS peak_weekday, conversations, double_texts, ghosted_by FROM summary, (SELECT contact, total FROM per ORDER BY total DESC, first, contact LIMIT 1) t", more=f"{_HEALTH}, {_SUMMARY}, {_CONTACTS}")
-_add("wrapped_card", lambda m: search.wrapped(m, 2024).select("year", "total", "sent", "received", "sent_share", "people", "top_contact", "runner_up", "words_written", "peak_hour", "peak_weekday", "busiest_day", "busiest_count", "night_messages", "you_micros", "them_micros", "conversations", "streak_days", "streak_start", "top_word", "top_emoji", "typo_rate", "net"), f"""SELECT 2024 AS year, total, sent, received, sent_share, people, p[1] AS top_contact, p[2] AS runner_up, words_written, {_PEAK('hour(ts)')} AS peak_hour, {_PEAK('isodow(ts) - 1')} AS peak_weekday, busiest_day, busiest_count, night_messages, r.you_micros, r.them_micros, conversations, days AS streak_days, start AS streak_start,
-  ({_FREQ.replace('AS word, count(*) AS count', '')} AND direction = 'sent' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_word, (SELECT emoji FROM emo GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_emoji, {_ratio('1000 * (SELECT count(*) FROM bad)', '(SELECT count(*) FROM s2)', 2)} AS typo_rate, (SELECT net FROM (SELECT {_NET} FROM toned)) AS net
+_add("wrapped_card", lambda m: search.wrapped(m, 2024).select("year", "empty", "total", "sent", "received", "sent_share", "people", "top_contact", "runner_up", "words_written", "peak_hour", "peak_weekday", "busiest_day", "busiest_count", "night_messages", "you_micros", "them_micros", "conversations", "streak_days", "streak_start", "top_word", "top_emoji", "top_typo", "typo_rate", "net"), f"""SELECT 2024 AS year, false AS empty, total, sent, received, sent_share, people, p[1] AS top_contact, p[2] AS runner_up, words_written, {_PEAK('hour(ts)')} AS peak_hour, {_PEAK('isodow(ts) - 1')} AS peak_weekday, busiest_day, busiest_count, night_messages, r.you_micros, r.them_micros, conversations, days AS streak_days, start AS streak_start,
+  ({_FREQ.replace('AS word, count(*) AS count', '')} AND direction = 'sent' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_word, (SELECT emoji FROM emo GROUP BY 1 ORDER BY count_if(direction = 'sent') DESC, CASE WHEN count_if(direction = 'sent') = 0 THEN -count(*) END, 1 LIMIT 1) AS top_emoji, (SELECT lw FROM bad GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_typo, {_ratio('1000 * (SELECT count(*) FROM bad)', '(SELECT count(*) FROM s2)', 2)} AS typo_rate, (SELECT net FROM (SELECT {_NET} FROM toned)) AS net
   FROM (SELECT count(*) AS total, {_S} AS sent, {_R} AS received, {_ratio(_S, 'count(*)', 3)} AS sent_share, count(DISTINCT contact) AS people, count_if(hour(ts) < 5) AS night_messages FROM msgs), (SELECT list(contact ORDER BY total DESC, first, contact) AS p FROM per), (SELECT CAST(sum(len({_WORDS})) AS BIGINT) AS words_written FROM msgs WHERE direction = 'sent' AND NOT {_MEDIA}),
   (SELECT ts::DATE AS busiest_day, count(*) AS busiest_count FROM msgs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1), (SELECT {_REPLY} FROM adj) r, summary s, streak""", more=f"{_HEALTH}, {_SUMMARY}, {_CONTACTS}, {_STREAK}, {_TOK}, {_TONED.split(', toned', 1)[0] and 'toned' + _TONED.split(', toned', 1)[1]}, {_EMO}, {_SPELL}")
+_add("wrapped_empty_year", lambda m: search.wrapped(m, 1999).select("year", "empty", "top_contact", "net"), "SELECT 1999 AS year, true AS empty, NULL::VARCHAR AS top_contact, NULL::DOUBLE AS net")
 
 # claims
 _PCT = "pct AS (SELECT msg_id, c.i - 1 AS claim_no, CAST(c.x AS DOUBLE) AS value FROM (SELECT msg_id, unnest(list_transform(regexp_extract_all(text, '([0-9]+)% of', 1), lambda x, i: {'x': x, 'i': i})) AS c FROM msgs) WHERE CAST(c.x AS DOUBLE) <= 100)"
@@ -215,6 +216,14 @@ _add("pack_counts", _book(lambda m, b: claims.pack_counts(packs.packs(m.sparkSes
 _add("topic_first_match", _book(lambda m, b: claims.topics_in(_claims(m), b)), f"SELECT msg_id, start, CASE t {' '.join(f'WHEN {t} THEN {n}' for t, n in ((0, 0), (1, 3), (2, 13), (3, 3), (5, 4), (9, 2), (10, 5), (11, 15), (15, 6)))} END AS topic FROM claimed_out WHERE t NOT IN (6, 7, 12)", base=CLAIMS_SQL, more=_CLAIMED)
 _add("myth_sentences", _book(claims.myths_in), "SELECT msg_id, 0 AS start, CASE t WHEN 4 THEN 31 ELSE 38 END AS \"end\", CASE t WHEN 4 THEN 'ten-percent-brain' ELSE 'flat-earth' END AS myth FROM msgs WHERE t IN (4, 8)", base=CLAIMS_SQL)
 _add("appeal_detect", claims.appeals_in, "SELECT msg_id, CASE t WHEN 5 THEN 'authority' WHEN 8 THEN 'popularity' ELSE 'count' END AS appeal, 0 AS start, regexp_extract(text, '^[^.]*') AS said FROM msgs WHERE t IN (5, 8, 14)", base=CLAIMS_SQL)
+_add("wrapped_fact", _book(lambda m, b: claims.card_fact(volume.overview(m).select(search.ratio("sent", "total", 3).alias("sent_share")), b).select("sent_share", "fact_id", "gap")), f"SELECT sent_share, id AS fact_id, round(abs(round(sent_share * 100, 1) - value), 1) AS gap FROM (SELECT {_ratio(_S, 'count(*)', 3)} AS sent_share FROM msgs), facts WHERE kind = 'percent' ORDER BY abs(round(sent_share * 100, 1) - value) > 6, abs(round(sent_share * 100, 1) - value), ord LIMIT 1", base=CLAIMS_SQL, more=_CLAIMED)
+_add("conversation_page", lambda m: conversations.conversation_view(m, 5, 10)[0].select("contact", "conversations"), f"SELECT contact, conversations FROM health ORDER BY conversations DESC, contact LIMIT 10", more=_HEALTH)
+_add("conversation_page_summary", lambda m: conversations.conversation_view(m, 5, 10)[1].select("conversations", "double_texts"), "SELECT conversations, double_texts FROM summary", more=f"{_HEALTH}, {_SUMMARY}")
+
+_add("hours_of_contact", lambda m: search.of_contact(volume.by_hour, m, "user_7"), f"SELECT r.hour, coalesce(sent, 0) AS sent, coalesce(received, 0) AS received FROM (SELECT unnest(range(24)) AS hour) r LEFT JOIN (SELECT hour(ts) AS hour, {_S} AS sent, {_R} AS received FROM msgs WHERE contact = 'user_7' GROUP BY 1) USING (hour) WHERE EXISTS (SELECT 1 FROM msgs WHERE contact = 'user_7')")
+_add("hours_of_unknown_contact", lambda m: search.of_contact(volume.by_hour, m, "nobody"), "SELECT 0 AS hour, 0 AS sent, 0 AS received WHERE false")
+# a choice depends on those before it; tested against a plain loop
+_add("parallels_without_repeats", _book(lambda m, b: recent.without_repeats(verdicts.checked_claims(m, b, ["contact", "ts", "msg_id"]), b)), base=CLAIMS_SQL)
 
 # source decoding, over events as rows of an export
 _add("alias_pick", decode.demo_alias, "SELECT msg_id, coalesce(nullif(CASE WHEN msg_id % 3 = 0 THEN text END, ''), nullif(contact, '')) AS value, CASE WHEN msg_id % 3 = 0 AND text <> '' THEN 'body' ELSE 'message' END AS alias FROM msgs")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import extract, search
+from ..operators import extract, search, volume
 
 SCHEMA = "msg_id long, contact string, sender string, direction string, ts timestamp_ntz, text string, source string"
 
@@ -61,3 +61,30 @@ def append_stream(m: DataFrame, table: str, checkpoint: str, available_now: bool
 
     writer = m.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def keep_contacts(m: DataFrame, table: str, view: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Adds each batch to a table of messages and counts the contacts that it touches anew, over all their messages.
+
+    Late messages always count, as whole contacts are read again. What a batch makes
+    of its contacts is one version of the view; the last version of a contact holds.
+    A batch that is run again overwrites its version.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        search.append_or_create(table, batch)
+        touched = batch.select("contact").distinct()
+        own = batch.sparkSession.read.parquet(table).join(touched, "contact", "left_semi")
+        volume.contact_frequency(own).write.mode("overwrite").parquet(f"{view}/version={number}")
+        batch.unpersist()
+
+    writer = m.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def contacts_now(spark: SparkSession, view: str) -> DataFrame:
+    """The newest version of each contact."""
+    v = spark.read.parquet(view)
+    last = v.groupBy("contact").agg(F.max("version").alias("version"))
+    return v.join(last, ["contact", "version"]).drop("version")
