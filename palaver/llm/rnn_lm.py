@@ -11,7 +11,8 @@ outside the vocabulary gets. The recurrent weights are fitted in rounds, each on
 another part of the documents, together all of them once: every partition trains
 on from the weights of the round before, and the new weights are averaged in Spark
 by the tokens that each partition read. The vocabulary grows with the cube root
-of the text.
+of the text. A small corpus is gone through several times, so that the model makes
+a least number of steps.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CLASSES, WIDTH, UNITS, SAMPLE_DOCS = 32, 32, 16, 1200
 UNKNOWN, END = 0, 1
 #: Rates of the rounds, and weights in a row of the averages.
 RATES, CHUNK = (0.01, 0.01, 0.006, 0.003), 1 << 16
+#: Tokens that training goes through at least, by passes over each round's documents.
+LEAST_TOKENS = 6_000_000
 _END_KEY = np.array([0x5DEECE66D1234567], U64)
 
 
@@ -116,8 +119,11 @@ class Model:
                 back[at] += d @ self.p["w"][k].T
         return said, back
 
-    def fit(self, docs: list[np.ndarray], lanes: int = 768, window: int = 20, rate: float = 0.01) -> None:
-        """Truncated backpropagation: gradients run back through a window, the state runs on through the document."""
+    def fit(self, docs: list[np.ndarray], lanes: int = 768, window: int = 20, rate: float = 0.01, again: bool = False) -> None:
+        """Truncated backpropagation: gradients run back through a window, the state runs on through the document.
+
+        again: the documents were learned from before and don't count as seen anew.
+        """
         stream = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         if not len(stream):
             return
@@ -157,7 +163,7 @@ class Model:
             order = np.argsort(word, kind="stable")
             edge = np.flatnonzero(np.diff(word[order], prepend=-1))
             grad["x"][word[order[edge]]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], edge)
-            self.t, self.seen = self.t + 1, self.seen + int(weight.sum())
+            self.t, self.seen = self.t + 1, self.seen + (0 if again else int(weight.sum()))
             size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g *= min(1.0, 1.0 / max(size, 1e-9))
@@ -201,15 +207,20 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(words.hashes(lower=True), words.ptr[1:], np.repeat(_END_KEY, len(offsets) - 1)), words.ptr + np.arange(len(offsets))
 
 
-def train(own: DataFrame, counts: np.ndarray, ids_of: Callable, first: int, modulus: int, rest: int) -> Model:
+def train(own: DataFrame, counts: np.ndarray, ids_of: Callable, first: int, modulus: int, rest: int, least: int = LEAST_TOKENS) -> Model:
     """A model of all documents that aren't held out; seen is the number of tokens that it learned from."""
     spark, model = own.sparkSession, Model(counts)
+    passes = max(1, math.ceil(least / max(1.0, counts.sum())))
     own = own.where(~held_out(F.col("doc_id"), modulus, rest))
     begin = min(0.25, max(1 / 16, first / max(1, own.count())))
     edges = [0, *(round((begin + (1 - begin) * i / (len(RATES) - 1)) * 1024) for i in range(len(RATES)))]
     part = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1024))
 
     def learn(weights, rate: float):
+        def learn_from(local: Model, held: list[np.ndarray]) -> None:
+            for i in range(passes):
+                local.fit(held, rate=rate, again=i > 0)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local, held, size = Model(counts), [], 0
             local.load(weights.value)
@@ -222,9 +233,9 @@ def train(own: DataFrame, counts: np.ndarray, ids_of: Callable, first: int, modu
                     held.append(ids_of(_tokens(*B.text_bytes_of(batch.column(1).slice(at, end - at)))[0]))
                     size, at = size + len(held[-1]), end
                     if size >= 250_000:
-                        local.fit(held, rate=rate)
+                        learn_from(local, held)
                         held, size = [], 0
-            local.fit(held, rate=rate)
+            learn_from(local, held)
             flat = local.flat().astype(np.float64) * local.seen
             cut = range(0, len(flat), CHUNK) if local.seen else []
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // CHUNK for i in cut], pa.int32()), "seen": pa.array([local.seen] * len(cut), pa.int64()), "w": pa.array([flat[i : i + CHUNK].tobytes() for i in cut], pa.binary())})
