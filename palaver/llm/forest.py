@@ -117,7 +117,8 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
                     me, scores = q[i]["vec_id"], x[rows_of] @ y[i]
                     if len(scores) > k + 1:
                         least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                        keep = np.flatnonzero(scores >= least - 1e-9)
+                        # what rounding can do grows with the products that are added up
+                        keep = np.flatnonzero(scores >= least - 1e-12 * d * (abs(least) + np.abs(x[rows_of]).max() * np.abs(y[i]).max()))
                     else:
                         keep = np.arange(len(scores))
                     for j in keep:

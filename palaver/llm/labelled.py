@@ -27,15 +27,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: i
     """Features of at most `bound` labelled rows of each class that aren't held out, and how many rows each class has.
 
     Rows are taken by a hash of their id, evenly over the corpus. Labels that are
-    null, and ids that have none or several different ones, are left out.
+    null, and ids that have none or several different ones, are left out. Of rows
+    with one id the text with the smallest hash counts, so that reruns agree.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(known["doc_id"], modulus, rest)).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for y in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))
-    texts = B.map_documents(docs.join(picked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"), of, schema)
-    rows = texts.dropDuplicates(["doc_id"]).join(picked, "doc_id").orderBy("doc_id").collect()
+    one = docs.join(picked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = B.map_documents(one, of, schema).join(picked, "doc_id").orderBy("doc_id").collect()
     return rows, counts
 
 

@@ -35,8 +35,8 @@ CLASSES, WIDTH, UNITS, SAMPLE_DOCS = 32, 32, 16, 1200
 UNKNOWN, END = 0, 1
 #: Rates of the rounds, and weights in a row of the averages.
 RATES, CHUNK = (0.01, 0.01, 0.006, 0.003), 1 << 16
-#: Tokens that training goes through at least, by passes over each round's documents.
-LEAST_TOKENS = 6_000_000
+#: Tokens that training goes through at least, by passes over each round's documents, and passes at most.
+LEAST_TOKENS, MOST_PASSES = 6_000_000, 24
 _END_KEY = np.array([0x5DEECE66D1234567], U64)
 
 
@@ -210,7 +210,7 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def train(own: DataFrame, counts: np.ndarray, ids_of: Callable, first: int, modulus: int, rest: int, least: int = LEAST_TOKENS) -> Model:
     """A model of all documents that aren't held out; seen is the number of tokens that it learned from."""
     spark, model = own.sparkSession, Model(counts)
-    passes = max(1, math.ceil(least / max(1.0, counts.sum())))
+    passes = min(MOST_PASSES, max(1, math.ceil(least / max(1.0, counts.sum()))))
     own = own.where(~held_out(F.col("doc_id"), modulus, rest))
     begin = min(0.25, max(1 / 16, first / max(1, own.count())))
     edges = [0, *(round((begin + (1 - begin) * i / (len(RATES) - 1)) * 1024) for i in range(len(RATES)))]
