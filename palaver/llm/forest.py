@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Trees, bits of a string, vectors in a block, queries in a pack, share of a block that a query ranks at least.
 TREES, BITS, BLOCK, PACK, SHARE = 48, 32, 4096, 256, 0.7
+#: Part of the candidates that were reckoned with that trees must really hold between them.
+ENOUGH = 0.9
 
 
 def clean_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -68,12 +70,19 @@ class Forest:
                 break
             level[live], lo[:, live], hi[:, live] = depth, a[:, deep], b[:, deep]
         for i in range(q):
-            if level[i] == 0:
-                yield np.arange(self.n)
-                continue
-            held = np.zeros(self.n, bool)
-            for t in range(trees):
-                held[self.order[t, lo[t, i] : hi[t, i]]] = True
+            depth, low, high = level[i], lo[:, i], hi[:, i]
+            while True:
+                held = np.full(self.n, depth == 0)
+                for t in range(trees if depth else 0):
+                    held[self.order[t, low[t] : high[t]]] = True
+                if depth == 0 or held.sum() >= ENOUGH * want:
+                    break
+                # trees of much the same rows hold fewer than reckoned: all ascend further
+                depth -= 1
+                shift = np.uint64(self.bits - depth)
+                prefix = (keys[:, i] >> shift) << shift
+                low = [np.searchsorted(k, p) for k, p in zip(self.keys, prefix, strict=True)]
+                high = [np.searchsorted(k, p + (np.uint64(1) << shift)) for k, p in zip(self.keys, prefix, strict=True)]
             yield np.flatnonzero(held)
 
 
