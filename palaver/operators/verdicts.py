@@ -158,10 +158,12 @@ def mythic_spans(text: Column, book: Book) -> Column:
             conditions.append(one)
         return first_of(conditions)
 
+    # one pattern of each myth stands for all; few sentences have any
+    maybe = "(?i)" + "|".join(f"(?:{m['patterns'][0]})" for m in book.myths)
     tiles = F.regexp_extract_all(text, F.lit(rf"{SENTENCE}|[.!?\n]"), F.lit(0))
 
     def found(parts):
-        marked = F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.when(s.rlike(r"^[^.!?\n]"), hit(s)).alias("myth")))
+        marked = F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.when(s.rlike(maybe), hit(s)).alias("myth")))
         at = lambda x: F.length(F.array_join(F.slice(parts, F.lit(1), x["i"]), ""))
         span = lambda x: F.struct(at(x).cast("long").alias("start"), (at(x) + F.length(F.get(parts, x["i"]))).cast("long").alias("end"), x["myth"].alias("myth"), F.trim(F.get(parts, x["i"])).alias("said"))
         return F.transform(F.filter(marked, lambda x: x["myth"].isNotNull()), span)
