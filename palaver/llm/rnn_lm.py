@@ -88,35 +88,43 @@ class Model:
         cls, within = target // self.width, target % self.width
         logits = s @ self.p["c"] + self.p["bc"]
         logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total, rows = e.sum(axis=1), np.arange(len(s))
-        said = logits[rows, cls] - np.log(total)
+        rows = np.arange(len(s))
+        said = logits[rows, cls]
+        d = np.exp(logits, out=logits)
+        total = d.sum(axis=1)
+        said -= np.log(total)
         back = None
         if grad is not None:
-            d = e / total[:, None]
+            d /= total[:, None]
             d[rows, cls] -= 1
             d *= weight[:, None]
             grad["c"] += s.T @ d
             grad["bc"] += d.sum(axis=0)
             back = d @ self.p["c"].T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(len(self.p["w"]) + 1))
-        for k in range(len(self.p["w"])):
-            at = order[edge[k] : edge[k + 1]]
-            if not len(at):
-                continue
+        # states of one class stand together, so that each class works on a slice
+        order = np.argsort(cls.astype(np.uint16) if len(self.p["w"]) < 1 << 16 else cls, kind="stable")
+        edge = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(self.p["w"])))))
+        s, within, part = s[order], within[order], np.empty(len(s), said.dtype)
+        if grad is not None:
+            weight, more = weight[order, None], np.empty_like(back)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            at = slice(edge[k], edge[k + 1])
             own = s[at] @ self.p["w"][k] + self.p["bw"][k]
             own -= own.max(axis=1, keepdims=True)
-            e = np.exp(own)
-            total, rows = e.sum(axis=1), np.arange(len(at))
-            said[at] += own[rows, within[at]] - np.log(total)
+            spot = (rows[: len(own)], within[at])
+            part[at] = own[spot]
+            d = np.exp(own, out=own)
+            total = d.sum(axis=1)
+            part[at] -= np.log(total)
             if grad is not None:
-                d = e / total[:, None]
-                d[rows, within[at]] -= 1
-                d *= weight[at, None]
+                d *= weight[at] / total[:, None]
+                d[spot] -= weight[at, 0]
                 grad["w"][k] += s[at].T @ d
                 grad["bw"][k] += d.sum(axis=0)
-                back[at] += d @ self.p["w"][k].T
+                np.matmul(d, self.p["w"][k].T, out=more[at])
+        said[order] += part
+        if grad is not None:
+            back[order] += more
         return said, back
 
     def fit(self, docs: list[np.ndarray], lanes: int = 768, window: int = 20, rate: float = 0.01, again: bool = False) -> None:
@@ -160,7 +168,7 @@ class Model:
                 dh = dh * z + du @ self.p["u"].T
                 dh *= (before[a + i] != END)[:, None]
             word = before[a:b].ravel()
-            order = np.argsort(word, kind="stable")
+            order = np.argsort(word.astype(np.uint16) if len(self.p["x"]) <= 1 << 16 else word, kind="stable")
             edge = np.flatnonzero(np.diff(word[order], prepend=-1))
             grad["x"][word[order[edge]]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], edge)
             self.t, self.seen = self.t + 1, self.seen + (0 if again else int(weight.sum()))
