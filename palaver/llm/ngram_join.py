@@ -1,9 +1,10 @@
 """N-gram Jaccard join: all texts whose sets of word shingles are similar, and the classes they form.
 
 Method: vertical partitioning. The shingles have one global order, rarest
-first. Their key space is cut into fragments; each fragment adds up in how many
-texts its shingles occur, and later counts a pair's overlap within itself; the
-partial overlaps are summed per pair and give the exact similarity.
+first. That order is cut into fragments, at fixed numbers of texts in which a
+shingle occurs; each fragment counts a pair's overlap within itself, and the
+partial overlaps are summed per pair and give the exact similarity. What comes
+before the first cut stands in one text alone and can't overlap.
 
 Two texts with Jaccard similarity >= t share a shingle among the first
 n - ceil(t n) + 1 of each in any global order (prefix filter). Under rarest
@@ -30,8 +31,10 @@ from . import blocks as B
 from .graph import components
 from .textcore import U64, Words, mix, window_starts, windows
 
-#: Pieces of a text's shingle set in which partial overlaps are counted.
-FRAGMENTS = 4
+#: Numbers of texts at which the global order, rarest first, is cut into fragments; shingles of fewer texts than the first have no overlap.
+CUTS = (2, 3, 5, 17)
+#: Pieces of a component in joins by its label.
+SALTS = 16
 #: Bits of a set's parity.
 PARITY = 1024
 #: Turns of testing centres, at most; what they leave open is tested pair by pair.
@@ -63,8 +66,20 @@ def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def fragments(grams: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The shared shingles of each text's set, as a list for each fragment of the global order."""
+    n, width = len(at) - 1, len(CUTS)
+    fragment = np.searchsorted(np.array(CUTS, U64), counts, side="right") - 1
+    cell = np.repeat(np.arange(n), np.diff(at)) * width + fragment
+    shared = fragment >= 0
+    order = np.argsort(cell[shared], kind="stable")
+    edge = np.concatenate(([0], np.cumsum(np.bincount(cell[shared], minlength=n * width))))
+    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(grams[shared][order].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), lists)
+
+
 def shingle_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row per document: set size, a hash of the set (cls), and, where a partner is possible, its set and shared prefix."""
+    """A row per document: set size, a hash of the set (cls), and, where a partner is possible, its shared prefix and its fragments."""
     blocks = B.Blocks(docs)
     bits = B.sketch_bits(blocks.bytes // 6)
     replies = B.merged_counts(blocks, lambda ids, buf, offsets: shingle_sets(buf, offsets, k)[0], bits, cap=1 << 40)
@@ -73,7 +88,8 @@ def shingle_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         grams, at = shingle_sets(buf, offsets, k)
         counts = B.counts_for(grams, got, bits)
         n = np.diff(at)
-        cls, unshared, prefix, sets, parity = [], [], [], [], []
+        cls, unshared, prefix, parity = [], [], [], []
+        live = np.zeros(len(n), bool)
         for i in range(len(n)):
             g, c = grams[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]
             cls.append(int(mix(np.array([np.bitwise_xor.reduce(mix(g + U64(n[i])))]) + np.sum(g, dtype=U64)).view(np.int64)[0]) if n[i] else None)
@@ -81,45 +97,25 @@ def shingle_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             unshared.append(alone)
             if n[i] and alone < first:
                 prefix.append(g[np.lexsort((g, c))[alone:first]].view(np.int64))
-                sets.append(g.tobytes())
+                live[i] = True
                 odd = (np.bincount((g & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
                 parity.append(np.packbits(odd).view(np.int64))
             else:
                 prefix.append(None)
-                sets.append(None)
                 parity.append(None)
-        return {"doc_id": ids, "n": pa.array(n), "cls": pa.array(cls, pa.int64()), "unshared": pa.array(unshared, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "grams": pa.array(sets, pa.binary()), "parity": pa.array(parity, pa.list_(pa.int64()))}
+        parts = fragments(grams, np.where(np.repeat(live, n), counts, U64(0)), at)
+        return {"doc_id": ids, "n": pa.array(n), "cls": pa.array(cls, pa.int64()), "unshared": pa.array(unshared, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "parts": parts, "parity": pa.array(parity, pa.list_(pa.int64()))}
 
-    return blocks.answer(replies, profile, "doc_id long, n long, cls long, unshared long, prefix array<long>, grams binary, parity array<long>")
+    return blocks.answer(replies, profile, "doc_id long, n long, cls long, unshared long, prefix array<long>, parts array<array<long>>, parity array<long>")
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, shared): exact set overlaps, summed over the fragments in which they are counted."""
-
-    def cut(batches):
-        edges = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], U64)
-        for batch in batches:
-            rows = {"cls": [], "frag": [], "part": []}
-            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = np.frombuffer(blob.as_buffer(), U64)
-                at = [0, *np.searchsorted(g, edges), len(g)]
-                for f in range(FRAGMENTS):
-                    if at[f] < at[f + 1]:
-                        rows["cls"].append(c)
-                        rows["frag"].append(f)
-                        rows["part"].append(g[at[f] : at[f + 1]].tobytes())
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(rows["cls"], pa.int64()), "frag": pa.array(rows["frag"], pa.int32()), "part": pa.array(rows["part"], pa.binary())})
-
-    def count(batches):
-        for batch in batches:
-            shared = [len(np.intersect1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), assume_unique=True)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "shared": pa.array(shared, pa.int64())})
-
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    parts = classes.select("cls", "grams").join(used, "cls", "left_semi").mapInArrow(cut, "cls long, frag int, part binary")
+    parts = classes.select("cls", "parts").join(used, "cls", "left_semi").select("cls", F.posexplode("parts").alias("frag", "part")).where(F.size("part") > 0)
     left = pairs.select("a", "b").join(parts.select(F.col("cls").alias("a"), "frag", F.col("part").alias("x")), "a")
     both = left.join(parts.select(F.col("cls").alias("b"), "frag", F.col("part").alias("y")), ["b", "frag"])
-    return both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("shared"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -141,6 +137,12 @@ def _parity_fits(percent: int):
     return differ <= F.col("na") + F.col("nb") - 2 * need
 
 
+def _with_label(rows: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (cls, label) with a table of labels; a component is dealt over SALTS tasks, however large it is."""
+    salted = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["label", "salt"], how).drop("salt")
+
+
 def _opened(tokens: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, int]:
     """Prefix shingles that classes of different components share, and how many pairs across components these hold.
 
@@ -165,7 +167,8 @@ def _star_pairs(opened: DataFrame, tested: DataFrame | None, classes: DataFrame,
     """
     h, ranked = F.xxhash64("cls", "tok", F.lit(turn)).alias("h"), opened
     if turn:
-        ranked = opened.join(opened.select("label", "cls").distinct().groupBy("label").agg((-F.count("*")).alias("s")), "label")
+        larger = opened.select("label", "cls").distinct().groupBy("label").agg((-F.count("*")).alias("s")).where("s < -1")
+        ranked = _with_label(opened, larger, "left").withColumn("s", F.coalesce("s", F.lit(-1)))
     order = F.struct("s", "label", h, "cls", "n", "pos") if turn else F.struct(h, "label", "cls", "n", "pos")
     heads = ranked.groupBy("tok").agg(F.min(order).alias("c")).select("tok", F.col("c.cls").alias("a"), F.col("c.label").alias("la"), F.col("c.n").alias("na"), F.col("c.pos").alias("pa"))
     pairs = opened.select("tok", F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(heads, "tok").where("la <> lb").where(_fits(percent)).groupBy("a", "b").agg(F.count("*").alias("w"))
@@ -194,7 +197,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     summary = B.stage_table(rows.select("doc_id", "n", "cls"))
     first = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     live = rows.where("prefix is not null")
-    classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"), F.first("parity").alias("parity")))
+    classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("parity").alias("parity")))
     wide.drop(own.sparkSession)  # only the summary and the classes are read from here on
     tokens = B.stage_table(classes.select("cls", "n", "unshared", F.posexplode("prefix").alias("i", "tok")).select("tok", "cls", "n", (F.col("unshared") + F.col("i")).alias("pos")))
 
@@ -218,8 +221,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     more = _linked(B.stage_table(rest), classes, percent).select("a", "b")
     final = B.stage_table(components(more if links is None else links.union(more)))
 
-    low = first.join(final.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    comp = low.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = low.where("copies > 1 or label <> cls").join(comp, "label").select("cls", "component_id")
-    named = named.union(low.where("copies = 1 and label = cls").join(comp, "label").where("component_id <> low").select("cls", "component_id"))
+    linked = B.stage_table(first.join(final.select(F.col("v").alias("cls"), "label"), "cls").select("cls", "label", "low"))
+    named = _with_label(linked.select("cls", "label"), linked.groupBy("label").agg(F.min("low").alias("component_id"))).select("cls", "component_id")
+    named = named.union(first.where("copies > 1").join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("low").alias("component_id")))
     return summary.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
