@@ -10,9 +10,11 @@ bound can still beat the k-th best: the k nearest are exact. Their votes, weight
 by cosine, become a calibrated score; the examples themselves are the evidence.
 
 Terms are words and word beginnings in lower case; their document frequencies are
-those of the whole corpus. Vectors hold every term that an example has; the
-TELLING terms that say most about the label in the sample weigh BOOST times their
-TF-IDF, as by plain TF-IDF the topic of a text hides a few offensive words. Terms
+those of the whole corpus. Vectors hold every term that an example has. By plain
+TF-IDF the topic of a text can hide a few offensive words, so some of the terms
+that say most about the label in the sample may weigh a multiple of their TF-IDF.
+Which weighting, how many neighbours and what weight of the base rate is decided
+by the labelled sample itself: each half is scored by the other. Terms
 without an example meet no posting and only scale all cosines of a text alike;
 they are left out of its norm.
 """
@@ -30,14 +32,16 @@ from . import blocks as B
 from .labelled import held_out, sample
 from .textcore import U64, Words, hash_spans, mix
 
-#: Labelled examples of each class in the index, terms of more weight and how much, neighbours.
-BOUND, TELLING, BOOST, NEIGHBOURS = 1500, 384, 16.0, 15
+#: Labelled examples of each class in the index.
+BOUND = 1500
+#: Weightings that are compared, plain TF-IDF first: how many terms weigh more, and how much.
+WEIGHTINGS = ((0, 1.0), (128, 4.0), (128, 16.0), (384, 4.0), (384, 16.0), (1024, 4.0), (1024, 16.0))
+#: Votes that are compared: neighbours, and what the base rate weighs beside their squared cosines.
+VOTES = ((15, 0.25), (5, 0.25), (31, 0.25), (5, 1.0), (15, 1.0), (31, 1.0))
 #: Examples in a block, blocks read first.
 BLOCK, LEAD = 32, 4
 #: A term in more than this share of the examples has its weights in a row of all examples.
 COMMON = 0.1
-#: What the base rate weighs beside the squared cosines of the votes.
-PRIOR = 0.25
 _BEGIN = 5
 
 
@@ -71,6 +75,25 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def fit_line(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[float, float]:
+    """Log odds of label 1 as a line of x, for rows that weigh own; the slope stays near 1 where rows are few."""
+    line, design = np.array([0.0, 1.0]), np.stack([np.ones(len(x)), x], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
+        slope = design.T @ (own * (p - y)) + (line - [0.0, 1.0])
+        step = np.linalg.solve(design.T @ (design * (own * p * (1 - p))[:, None]) + np.eye(2), slope)
+        line = line - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(line[0]), max(0.1, float(line[1]))
+
+
+def as_in_corpus(y: np.ndarray, base: float) -> np.ndarray:
+    """What each example weighs, so that both classes weigh as in the corpus."""
+    n1 = int(y.sum())
+    return len(y) * np.where(y == 1, base / n1, (1 - base) / (len(y) - n1))
+
+
 class Index:
     """Postings of the examples' unit vectors, by term and block, with the block maxima.
 
@@ -79,7 +102,7 @@ class Index:
     labelled rows.
     """
 
-    def __init__(self, ids: np.ndarray, y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], frequencies: Callable, base: float, telling: int = TELLING, boost: float = BOOST):
+    def __init__(self, ids: np.ndarray, y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], frequencies: Callable, base: float, telling: int = 0, boost: float = 1.0, k: int = 15, prior: float = 0.25, calibrated: bool = True):
         n, sizes = len(docs), np.array([len(d[0]) for d in docs], np.int64)
         flat = np.concatenate([d[0] for d in docs]) if n else np.zeros(0, U64)
         count = np.concatenate([d[1] for d in docs]) if n else np.zeros(0)
@@ -113,37 +136,25 @@ class Index:
         self.start, self.size = start, np.diff(np.append(start, len(key)))
         self.block, self.most = key[start] % self.blocks, np.maximum.reduceat(self.w, start) if len(start) else self.w
         self.first = np.searchsorted(key[start] // self.blocks, np.arange(len(self.terms) + 1))
-        self.empty, self.line = float(base), (0.0, 1.0)
-        self._calibrate([self.vectors[i] for i in order], NEIGHBOURS)
+        self.empty, self.line, self.k, self.prior = float(base), (0.0, 1.0), k, prior
+        if calibrated:
+            self._calibrate([self.vectors[i] for i in order])
         del self.vectors
 
-    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
-        """Log odds of label 1 as a line of the vote's log odds, from votes on each example by all the others.
-
-        Both classes weigh as in the corpus; the slope stays near 1 where examples are few.
-        """
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Log odds of label 1 as a line of the vote's log odds, from votes on each example by all the others."""
         n = len(self.ids)
-        n1 = int(self.y.sum())
-        if n1 in (0, n):
+        if int(self.y.sum()) in (0, n):
             return
         x = np.empty(n)
-        for i, (near, cos) in enumerate(self.nearest_of(vectors, k + 1)):
-            x[i] = self._odds(near[near != i][:k], cos[near != i][:k])
-        own = n * np.where(self.y == 1, self.empty / n1, (1 - self.empty) / (n - n1))
-        line, design = np.array([0.0, 1.0]), np.stack([np.ones(n), x], axis=1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
-            slope = design.T @ (own * (p - self.y)) + (line - [0.0, 1.0])
-            step = np.linalg.solve(design.T @ (design * (own * p * (1 - p))[:, None]) + np.eye(2), slope)
-            line = line - np.clip(step, -1, 1)
-            if np.abs(step).max() < 1e-9:
-                break
-        self.line = (float(line[0]), max(0.1, float(line[1])))
-
-    def _odds(self, near: np.ndarray, cos: np.ndarray) -> float:
-        """Log odds of the neighbours' votes by squared cosine, beside which the base rate weighs PRIOR."""
+        for i, (near, cos) in enumerate(self.nearest_of(vectors, self.k + 1)):
+            x[i] = self.odds(near[near != i][: self.k], cos[near != i][: self.k], self.prior)
+        self.line = fit_line(x, self.y, as_in_corpus(self.y, self.empty))
+
+    def odds(self, near: np.ndarray, cos: np.ndarray, prior: float) -> float:
+        """Log odds of the neighbours' votes by squared cosine, beside which the base rate weighs prior."""
         weight = cos**2
-        vote = ((weight * self.y[near]).sum() + PRIOR * self.empty) / (weight.sum() + PRIOR)
+        vote = ((weight * self.y[near]).sum() + prior * self.empty) / (weight.sum() + prior)
         return float(np.log(vote / (1 - vote)))
 
     def _telling(self, term, of_term, y, most):
@@ -198,15 +209,41 @@ class Index:
         best = found[np.lexsort((self.ids[found], -np.round(scores[found], 12)))[:k]]
         return best, scores[best]
 
-    def score_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, np.ndarray]]:
+    def score_all(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray]]:
         """The probability of label 1 and the ids of the nearest examples, for each text's terms and counts."""
         out = []
-        for near, cos in self.nearest_of([self.query(*t) for t in texts], k):
-            odds = self.line[0] + self.line[1] * self._odds(near, cos)
+        for near, cos in self.nearest_of([self.query(*t) for t in texts], self.k):
+            odds = self.line[0] + self.line[1] * self.odds(near, cos, self.prior)
             out.append((float(1 / (1 + np.exp(-odds))) if len(near) else self.empty, self.ids[near]))
         return out
 
 
+def choose(ids: np.ndarray, y: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], frequencies: Callable, base: float) -> dict:
+    """telling, boost, k and prior of the smallest log loss when each half of the examples is scored by an index of the other half.
+
+    Terms are picked from the indexed half alone, so that no example's own label
+    speaks for it. The first listed counts where losses are equal, and where a
+    half lacks a class.
+    """
+    half = (mix(ids.astype(np.int64).view(U64)) & U64(1)).astype(np.int64)
+    names = ("telling", "boost", "k", "prior")
+    if any(len(np.unique(y[half == h])) < 2 for h in (0, 1)):
+        return dict(zip(names, (*WEIGHTINGS[0], *VOTES[0]), strict=True))
+    own, most, found = as_in_corpus(y, base), max(k for k, _ in VOTES), []
+    for telling, boost in WEIGHTINGS:
+        x = np.empty((len(VOTES), len(ids)))
+        for h in (0, 1):
+            fit, ask = np.flatnonzero(half == h), np.flatnonzero(half != h)
+            index = Index(ids[fit], y[fit], [docs[i] for i in fit], frequencies, base, telling, boost, calibrated=False)
+            for i, (near, cos) in zip(ask, index.nearest_of([index.query(*docs[i]) for i in ask], most), strict=True):
+                x[:, i] = [index.odds(near[:k], cos[:k], prior) for k, prior in VOTES]
+        for vote, odds in zip(VOTES, x, strict=True):
+            line = fit_line(odds, y, own)
+            z = np.where(y == 1, 1, -1) * (line[0] + line[1] * odds)
+            found.append((round(float(own @ np.logaddexp(0, -z)) / len(y), 9), len(found), (telling, boost, *vote)))
+    return dict(zip(names, min(found)[2], strict=True))
+
+
 def document_frequencies(own: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many documents each of the sorted terms stands, and the number of documents."""
 
@@ -234,10 +271,14 @@ def build_index(docs: DataFrame, labels: DataFrame, label: str, modulus: int, re
     rows, counts = sample(docs, labels, label, modulus, rest, bound, features, "doc_id long, t binary, c binary")
     base = (counts.get(1, 0) + 0.02) / (sum(counts.values()) + 1)
     examples = [(np.frombuffer(r["t"], U64), np.frombuffer(r["c"], np.int32)) for r in rows]
-    return Index(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), examples, lambda terms: document_frequencies(docs, terms), base)
+    every = np.unique(np.concatenate([t for t, _ in examples])) if examples else np.zeros(0, U64)
+    df, total = document_frequencies(docs, every)
+    known = lambda terms: (df[np.searchsorted(every, terms)], total)
+    ids, y = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64)
+    return Index(ids, y, examples, known, base, **choose(ids, y, examples, known, base))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, rest: int = 2, threshold: float = 0.3, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, rest: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (the probability of label 1), predicted, evidence (ids of the nearest examples).
 
     Rows with crc32(id as text) mod modulus = rest are held out of the index. A
@@ -250,7 +291,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod
     def score(ids, buf, offsets):
         owner, term, count = term_counts(buf, offsets)
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
-        got = index.score_all([(term[a:b], count[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], k)
+        got = index.score_all([(term[a:b], count[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
         return {"doc_id": ids, "score": pa.array([g[0] for g in got], pa.float64()), "evidence": pa.array([g[1] for g in got], pa.list_(pa.int64()))}
 
     scored = B.map_documents(own, score, "doc_id long, score double, evidence array<long>")

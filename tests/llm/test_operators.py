@@ -162,7 +162,7 @@ def test_block_max_search_is_exact():
     docs = [(t, np.ones(len(t))) for t, _ in docs]
     y = np.array([int(3 in t or 5 in t) for t, _ in docs])
     df = lambda terms: (np.array([sum(t in d for d, _ in docs) for t in terms]) * 3, 1500)
-    index = toxicity.Index(np.arange(500), y, docs, df, 0.3)
+    index = toxicity.Index(np.arange(500), y, docs, df, 0.3, 384, 16.0)
     assert index.blocks > 2 * toxicity.LEAD - 1 and set(index.terms) == {t for d, _ in docs for t in d}
     telling = {t for t, w, n in zip(index.terms, index.weight, df(index.terms)[0], strict=True) if w > 1.01 * np.log(1501 / (n + 0.5))}
     assert {3, 5} <= telling
@@ -176,10 +176,25 @@ def test_block_max_search_is_exact():
         brute = unit @ unit[i]
         want = sorted((-round(v, 12), j) for j, v in enumerate(brute) if v > 0)[:10]
         assert [j for _, j in want] == list(index.ids[near]) and np.allclose([-v for v, _ in want], cos)
-    scores = [s for s, _ in index.score_all(docs, 15)]
+    scores = [s for s, _ in index.score_all(docs)]
     assert 0 < len(index.dense) < len(index.terms)
     assert np.mean([(s >= 0.5) == v for s, v in zip(scores, y, strict=True)]) > 0.97
-    assert index.score_all([(np.array([99], np.uint64), np.ones(1))], 10)[0][0] == 0.3
+    assert index.score_all([(np.array([99], np.uint64), np.ones(1))])[0][0] == 0.3
+
+
+def test_weighting_is_chosen_on_the_sample_alone():
+    rng = np.random.default_rng(4)
+    # many words of a topic hide the one that decides, or decide themselves
+    topic = rng.integers(0, 6, 240)
+    hidden, said = rng.integers(0, 2, 240), topic % 2
+    words = [np.unique(np.append(100 * (1 + g) + rng.integers(0, 40, 30), rng.integers(5000, 9000, 10))) for g in topic]
+    df = lambda terms: (np.full(len(terms), 20), 10_000)
+    ids = np.arange(240)
+    docs = [(np.sort(np.append(w, 1 + h)).astype(np.uint64), np.ones(len(w) + 1)) for w, h in zip(words, hidden, strict=True)]
+    assert toxicity.choose(ids, hidden, docs, df, 0.5)["boost"] > 1
+    plain = toxicity.choose(ids, said, docs, df, 0.5)
+    assert plain == toxicity.choose(ids[::-1].copy(), said[::-1].copy(), docs[::-1], df, 0.5)
+    assert toxicity.choose(ids, np.zeros(240, int), docs, df, 0.5) == {"telling": 0, "boost": 1.0, "k": 15, "prior": 0.25}
 
 
 def test_document_frequencies_cover_the_corpus_and_edge_rows(spark, none):
