@@ -68,6 +68,17 @@ def test_ngram_join_equals_brute_force(docs, none):
     assert ngram_join.similar_classes(none).count() == 0
 
 
+def test_fragments_hold_each_shared_shingle_once():
+    rng = np.random.default_rng(3)
+    at = np.array([0, 0, 5, 40, 41])
+    grams, counts = np.arange(41, dtype=np.uint64) * np.uint64(1 << 58), rng.integers(1, 30, 41).astype(np.uint64)
+    got = ngram_join.fragments(grams, counts, at).to_pylist()
+    edges = [*ngram_join.CUTS, 1 << 40]
+    for i, row in enumerate(got):
+        own = range(at[i], at[i + 1])
+        assert [sorted(x) for x in row] == [sorted(int(grams[j].view(np.int64)) for j in own if a <= counts[j] < b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def test_ngram_join_of_a_family_in_turns(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "DIRECT", 0)
     base = _text(200).split()
@@ -261,6 +272,30 @@ def test_language_model_base_scores_and_gradient(docs, none):
     assert np.isclose(both[0], m.log_likelihood(tokens, np.array([0, 50]))[0]) and np.isclose(both[1], m.log_likelihood(tokens[:7], np.array([0, 7]))[0], rtol=1e-4)
 
 
+def test_language_model_gradient_equals_differences():
+    rng = np.random.default_rng(2)
+    model = rnn_lm.Model(np.ones(64))
+    tokens = np.append(rng.integers(1, 64, 14), rnn_lm.END)  # one window
+    start = {k: v.astype(np.float64) for k, v in model.p.items()}
+    loss = lambda: -model.log_likelihood(tokens, np.array([0, len(tokens)]))[0] / len(tokens)
+    model.fit([tokens], rate=0.0)
+    found = {k: m / 0.1 for k, m in model.m1.items()}  # of one step
+    model.p = start
+    told, want = [], []
+    for name, g in found.items():
+        for spot in np.argsort(-np.abs(g), axis=None)[:4]:
+            at, both = np.unravel_index(spot, g.shape), []
+            for eps in (0.01, -0.01):
+                model.p[name][at] += eps
+                both.append(loss())
+                model.p[name][at] -= eps
+            told.append(g[at])
+            want.append((both[0] - both[1]) / 0.02)
+    told, want = np.array(told), np.array(want)
+    scale = (told @ want) / (told @ told)  # long gradients are cut to length 1
+    assert scale > 0.99 and np.allclose(scale * told, want, rtol=0.02, atol=1e-4)
+
+
 def test_language_model_learns_from_all_documents(spark):
     rng = np.random.default_rng(4)
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
