@@ -68,6 +68,15 @@ def test_ngram_join_equals_brute_force(docs, none):
     assert ngram_join.similar_classes(none).count() == 0
 
 
+def test_ngram_join_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words[:-1]), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, " ".join(words)), (5, near), (None, other), (7, other), (None, "quite alone here"), (9, None), (8, near), (8, near)]
+    got = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    said = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+    assert said == collections.Counter([(None, 56, 5), (5, 55, 5), (None, 26, 7), (7, 26, 7), (None, 1, None), (9, 0, 9), (8, 55, 5), (8, 55, 5)])
+
+
 def test_fragments_hold_each_shared_shingle_once():
     rng = np.random.default_rng(3)
     at = np.array([0, 0, 5, 40, 41])
