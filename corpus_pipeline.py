@@ -35,7 +35,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = keyed(docs)
     classes = ngram_join.similar_classes(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    first = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_kept"))
+    first = blocks.stage_table(rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(best.alias("best")).select(F.col("best._row").alias("_kept")))
     return rows.join(first, rows["_row"] == first["_kept"], "left_semi").select(*docs.columns)
 
 

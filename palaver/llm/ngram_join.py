@@ -195,7 +195,7 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     with B.Staged() as wide:
         rows = B.stage_table(shingle_profiles(own, k, percent))
     summary = B.stage_table(rows.select("doc_id", "n", "cls"))
-    first = summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    first = B.stage_table(summary.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
     live = rows.where("prefix is not null")
     classes = B.stage_table(live.groupBy("cls").agg(F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("parity").alias("parity")))
     wide.drop(own.sparkSession)  # only the summary and the classes are read from here on
@@ -224,4 +224,5 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     linked = B.stage_table(first.join(final.select(F.col("v").alias("cls"), "label"), "cls").select("cls", "label", "low"))
     named = _with_label(linked.select("cls", "label"), linked.groupBy("label").agg(F.min("low").alias("component_id"))).select("cls", "component_id")
     named = named.union(first.where("copies > 1").join(linked.select("cls"), "cls", "left_anti").select("cls", F.col("low").alias("component_id")))
+    named = B.stage_table(named)  # short plans: the driver keeps each one, and Spark plans it anew after each of its stages
     return summary.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

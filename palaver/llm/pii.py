@@ -140,7 +140,7 @@ def believed(rows: DataFrame, support: int = SUPPORT, belief: float = BELIEF, ro
         if i + 1 < rounds:
             worth = B.stage_table(graph.join(patterns, "ctx").join(worth.select("value", "seed"), "value").groupBy("value").agg(F.when(F.max("seed"), 1.0).when(F.max("kind") == REFUTED, 0.0).otherwise(F.avg(F.when(F.col("seeds") >= support, F.col("trust")).otherwise(0.0))).alias("score"), F.max("seed").alias("seed")))
     kinds = graph.where("kind >= 0").groupBy("ctx", "kind").count().groupBy("ctx").agg(F.min(F.struct(-F.col("count"), "kind")).alias("m")).select("ctx", F.col("m.kind").alias("of"))
-    trusted = patterns.where((F.col("seeds") >= support) & (F.col("trust") >= belief)).join(kinds, "ctx").select("ctx", "of", "trust", "seeds")
+    trusted = B.stage_table(patterns.where((F.col("seeds") >= support) & (F.col("trust") >= belief)).join(kinds, "ctx").select("ctx", "of", "trust", "seeds"))
     marked = edges.where(F.col("kind").isin(OPEN, SECRET)).join(trusted, "ctx")
     best = F.max(F.struct("trust", "seeds", -F.col("of")))
     return marked.groupBy("row", "b", "e").agg(F.when(F.max("kind") == SECRET, SECRET).otherwise(-best.getField("col3")).cast("int").alias("k"))

@@ -45,6 +45,22 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
 
 
+def test_rounds_of_components_have_short_plans_without_broadcasts(spark, monkeypatch, capsys):
+    """The driver kept the plans and broadcast tables of all rounds; a half round is written before it is read twice."""
+    stage, plans = graph.stage_table, []
+
+    def seen(df):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return stage(df)
+
+    monkeypatch.setattr(graph, "stage_table", seen)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
+    assert {r["v"]: r["label"] for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7}
+    assert len(plans) > 2 and max(p.count("Exchange") for p in plans) <= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, x) for x in range(101, 130)] + [(5, 5), (3, 2)], "a long, b long")
     got = {r["v"]: r["label"] for r in graph.components(edges).collect()}
