@@ -4,8 +4,10 @@ Method: a bounded sample of labelled examples is indexed by an inverted index
 over all their terms. Postings lie in blocks of examples; each (term, block) has
 its largest weight, so the sum of query weight times block maximum bounds every
 cosine in the block. Lists of terms that many examples share are held as rows of
-all examples, whose part of the cosine is computed for many texts at once; the
-bound then takes its true maximum in the block. The blocks of highest bound are read first, then those whose
+all examples, whose part of the cosine is computed for many texts at once; lists
+with few examples in a block are read whole, as their maxima are about as many
+as their postings. The bound takes the true maximum of both parts in the block.
+The blocks of highest bound are read first, then those whose
 bound can still beat the k-th best: the k nearest are exact. Their votes, weighted
 by cosine, become a calibrated score; the examples themselves are the evidence.
 
@@ -42,6 +44,8 @@ VOTES = ((15, 0.25), (5, 0.25), (31, 0.25), (5, 1.0), (15, 1.0), (31, 1.0))
 BLOCK, LEAD = 32, 4
 #: A term in more than this share of the examples has its weights in a row of all examples.
 COMMON = 0.1
+#: Lists of fewer postings than this for each of their blocks are read whole.
+SPARSE = 2
 _BEGIN = 5
 
 
@@ -136,6 +140,8 @@ class Index:
         self.start, self.size = start, np.diff(np.append(start, len(key)))
         self.block, self.most = key[start] % self.blocks, np.maximum.reduceat(self.w, start) if len(start) else self.w
         self.first = np.searchsorted(key[start] // self.blocks, np.arange(len(self.terms) + 1))
+        self.list = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.whole = np.diff(self.list) < SPARSE * np.diff(self.first)
         self.empty, self.line, self.k, self.prior = float(base), (0.0, 1.0), k, prior
         if calibrated:
             self._calibrate([self.vectors[i] for i in order])
@@ -188,27 +194,48 @@ class Index:
 
     def _nearest(self, at: np.ndarray, own: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest by the sum of part, of each example, and the rare terms' postings."""
+        whole = self.whole[at]
+        lists = at[whole]
+        lengths = self.list[lists + 1] - self.list[lists]
+        posting = ranges(self.list[lists], lengths)
+        part = part + np.bincount(self.row.take(posting), self.w.take(posting) * np.repeat(own[whole], lengths), minlength=len(part))
+        at, own = at[~whole], own[~whole]
         lengths = self.first[at + 1] - self.first[at]
         entry, weight = ranges(self.first[at], lengths), np.repeat(own, lengths)
-        block = self.block[entry]
-        bound = part.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, weight * self.most[entry], minlength=self.blocks)
-        read, scores, least = np.zeros(self.blocks, bool), np.zeros(len(part)), 0.0
-        for lead in (LEAD, self.blocks):
-            new = np.zeros(self.blocks, bool)
-            new[np.argsort(-bound, kind="stable")[:lead]] = True
-            new &= ~read & (bound > least - 1e-9)
-            read |= new
-            some = np.flatnonzero(new[block])
-            sizes = self.size[entry[some]]
-            posting = ranges(self.start[entry[some]], sizes)
-            scores += np.bincount(self.row[posting], self.w[posting] * np.repeat(weight[some], sizes), minlength=len(scores))
-            scores += np.where(np.repeat(new, BLOCK), part, 0)
-            if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
+        block, by_block = self.block.take(entry), part.reshape(self.blocks, BLOCK)
+        bound = by_block.max(axis=1) + np.bincount(block, weight * self.most.take(entry), minlength=self.blocks)
+        read = np.zeros(self.blocks, bool)
+        read[np.argsort(-bound, kind="stable")[:LEAD]] = True
+        scores = self._in_blocks(read, block, entry, weight, by_block)
+        more = ~read & (bound > self._kth(scores, read, k) - 1e-9)
+        if 2 * np.count_nonzero(more) > self.blocks:  # the lists are read as they lie
+            lengths = self.list[at + 1] - self.list[at]
+            posting = ranges(self.list[at], lengths)
+            scores = part + np.bincount(self.row.take(posting), self.w.take(posting) * np.repeat(own, lengths), minlength=len(part))
+            read[:] = True
+        elif more.any():
+            scores += self._in_blocks(more, block, entry, weight, by_block)
+            read |= more
+        least = self._kth(scores, read, k)
         found = np.flatnonzero((scores > 0) & (scores > least - 1e-11))
         best = found[np.lexsort((self.ids[found], -np.round(scores[found], 12)))[:k]]
         return best, scores[best]
 
+    def _in_blocks(self, new: np.ndarray, block: np.ndarray, entry: np.ndarray, weight: np.ndarray, by_block: np.ndarray) -> np.ndarray:
+        """The cosines of all examples in some blocks, 0 elsewhere."""
+        some = np.flatnonzero(new.take(block))
+        use = entry.take(some)
+        sizes = self.size.take(use)
+        posting = ranges(self.start.take(use), sizes)
+        out = np.bincount(self.row.take(posting), self.w.take(posting) * np.repeat(weight.take(some), sizes), minlength=by_block.size).astype(float)
+        out.reshape(by_block.shape)[new] += by_block[new]
+        return out
+
+    def _kth(self, scores: np.ndarray, read: np.ndarray, k: int) -> float:
+        """The k-th best of the scores in the blocks that were read, 0 if they are fewer."""
+        known = scores.reshape(self.blocks, BLOCK)[read].ravel()
+        return float(np.partition(known, -k)[-k]) if len(known) >= k else 0.0
+
     def score_all(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray]]:
         """The probability of label 1 and the ids of the nearest examples, for each text's terms and counts."""
         out = []

@@ -218,6 +218,26 @@ def test_block_max_search_is_exact():
     assert index.score_all([(np.array([99], np.uint64), np.ones(1))])[0][0] == 0.3
 
 
+def test_block_max_search_reads_lists_once_where_maxima_spare_nothing(monkeypatch):
+    """Each list here has one example in a block, and its maxima were read beside its postings."""
+    n, read, ranges = 640, [], toxicity.ranges
+    df = lambda terms: (np.full(len(terms), 50), n)
+
+    def counted(starts, lengths):
+        read.append(int(lengths.sum()))
+        return ranges(starts, lengths)
+
+    monkeypatch.setattr(toxicity, "ranges", counted)
+    for m, most in ((40, n), (12, 3 * n)):
+        docs = [(np.array([i % m, 10_000 + i], np.uint64), np.ones(2)) for i in range(n)]
+        index = toxicity.Index(np.arange(n), np.arange(n) % 2, docs, df, 0.3, calibrated=False)
+        text = index.query(np.arange(m, dtype=np.uint64), np.arange(1.0, m + 1))
+        read.clear()
+        near, _ = next(index.nearest_of([text], 15))
+        assert index.ids[near].tolist() == list(range(m - 1, n, m))[:15]
+        assert sum(read) <= most
+
+
 def test_weighting_is_chosen_on_the_sample_alone():
     rng = np.random.default_rng(4)
     # many words of a topic hide the one that decides, or decide themselves
